@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions.ids import clean_id
+from lodestream.operators.skew import broadcast_if_small
+from lodestream.scratch import written
 
 #: Rows of one key beyond which its children are spread over several groups.
 HOT_CHILDREN = 100_000
@@ -52,7 +54,7 @@ def orphans(refs: DataFrame, spans: DataFrame, hot: int = HOT_CHILDREN) -> DataF
     parent row had begun before.
     """
     busy = refs.groupBy("parent", "ref_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot)
-    busy = F.broadcast(busy.select("parent", "ref_key", F.ceil(F.col("_n") / hot).cast("int").alias("_ways")))  # at most rows / hot rows
+    busy = broadcast_if_small(written(busy.select("parent", "ref_key", F.ceil(F.col("_n") / hot).cast("int").alias("_ways"))))
     ends = F.array(F.struct(F.col("born").alias("at"), F.lit(1).alias("step")), F.struct(F.col("died").alias("at"), F.lit(-1).alias("step")))
     up = spans.join(busy, ["parent", "ref_key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ways") - 1, F.lit(0)))))
     up = up.withColumn("_e", F.explode(ends)).select("parent", "ref_key", "salt", "_e.at", F.lit(0).alias("tag"), "_e.step").filter(F.col("at").isNotNull())

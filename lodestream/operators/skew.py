@@ -5,7 +5,7 @@ A key that holds a large share of the rows makes one task run far longer than th
 * ``compress`` groups by key *and value* before anything is grouped by key. Spark combines both steps on the map
   side, so a hot key reaches its final task as at most one row per map task and distinct value.
 * ``with_salt`` splits the rows of keys above a threshold over several salts, for operators that need a key's rows
-  themselves. The list of such keys has at most ``rows / threshold`` entries, so it is safe to broadcast.
+  themselves. The list of such keys has at most ``rows / threshold`` entries; it is broadcast if it is short.
 """
 
 from __future__ import annotations
@@ -16,20 +16,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.scratch import written
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (counted up to there), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
 
 def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
     """Keys with more than ``threshold`` rows, with their row counts in ``_rows``."""
     return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > threshold)
 
 
-def with_salt(df: DataFrame, keys: Sequence[str], spread: Column, threshold: int, salt: str = "_salt") -> DataFrame:
+def with_salt(df: DataFrame, keys: Sequence[str], spread: Column, threshold: int, salt: str = "_salt", ways: str | None = None) -> DataFrame:
     """Adds ``salt``: 0 for ordinary keys, ``pmod(spread, ceil(rows / threshold))`` for hot ones.
 
-    ``spread`` must be an integral column that varies within a key. Rows with a null key get salt 0.
+    ``spread`` must be an integral column that varies within a key. Rows with a null key get salt 0. ``ways`` names a
+    column for the number of salts of a hot key (null for others), if that is wanted.
     """
-    hot = hot_keys(df, keys, threshold).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_rows") / threshold).alias("_ways"))
+    hot = written(hot_keys(df, keys, threshold).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_rows") / threshold).alias("_ways")))
     on = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
-    return df.join(F.broadcast(hot), on, "left").withColumn(salt, F.coalesce(F.pmod(spread, F.col("_ways")), F.lit(0)).cast("int")).drop("_ways", *[f"_hot_{k}" for k in keys])
+    return df.join(broadcast_if_small(hot), on, "left").withColumn(salt, F.coalesce(F.pmod(spread, F.col("_ways")), F.lit(0)).cast("int")).withColumnRenamed("_ways", ways or "_ways").drop(*[] if ways else ["_ways"], *[f"_hot_{k}" for k in keys])
 
 
 def compress(df: DataFrame, keys: Sequence[str], value: str | Column, name: str = "value", weight: str = "weight") -> DataFrame:
