@@ -5,8 +5,8 @@ such pieces, whatever their exact lengths. No worker needs to know another's con
 (chosen by a hash of the document) is packed on its own.
 
 Three refinements keep little space unused. Containers of classes 1 to ``ROOMY`` hold few large pieces and leave the most
-room; before the other classes form containers of their own, their pieces are placed into that room, longest piece
-first, each where it fits tightest. And pieces of classes above ``CLASSES`` are laid end to end: a container takes those
+room; before a class forms containers of its own, its pieces are placed into that room, longest piece first, each where
+it fits tightest. And pieces of classes above ``CLASSES`` are laid end to end: a container takes those
 that begin within ``capacity - capacity / (CLASSES + 1)``, which wastes less than ``1 / (CLASSES + 1)``. The fewer than k
 pieces of each class k that fill no container share containers by tightest fit.
 """
@@ -51,18 +51,6 @@ def pack_group(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     kind = capacity // length
     boxes = 0
     room: list[tuple[int, int, int]] = []  # (room left, container, pieces in it), ascending
-    for k in range(1, ROOMY + 1):
-        own = np.flatnonzero(kind == k)
-        if not len(own):
-            continue
-        at = np.arange(len(own))
-        box[own], pos[own] = boxes + at // k, at % k
-        used = np.bincount(at // k, weights=length[own]).astype(np.int64)
-        held = np.bincount(at // k)
-        room += [(capacity - int(u), boxes + j, int(h)) for j, (u, h) in enumerate(zip(used, held, strict=True)) if u < capacity]
-        boxes += len(used)
-    room.sort()
-
     def place(items: list[int], opening: bool) -> None:
         """Each item, longest first, where it fits tightest; ``opening`` new containers if it fits nowhere."""
         nonlocal boxes
@@ -80,6 +68,15 @@ def pack_group(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
             if left > need:
                 bisect.insort(room, (left - need, b, held + 1))
 
+    for k in range(1, ROOMY + 1):
+        place(np.flatnonzero(kind == k).tolist(), opening=False)
+        own = np.flatnonzero((kind == k) & (box < 0))
+        at = np.arange(len(own))
+        box[own], pos[own] = boxes + at // k, at % k
+        used, held = np.bincount(at // k, weights=length[own]).astype(np.int64), np.bincount(at // k)
+        room += [(capacity - int(u), boxes + j, int(h)) for j, (u, h) in enumerate(zip(used, held, strict=True)) if u < capacity]
+        boxes += len(used)
+        room.sort()
     place(np.flatnonzero(kind > ROOMY).tolist(), opening=False)
     rest: list[int] = []
     for k in range(ROOMY + 1, CLASSES + 1):
