@@ -107,10 +107,10 @@ def assemble(pairs: DataFrame, users: DataFrame, businesses: DataFrame, reviews:
 
 
 def min_max(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
-    """The columns scaled to 0..1 by the range in ``fitted_on`` (default: themselves); constant columns give 0."""
+    """The columns scaled to 0..1 by the range in ``fitted_on`` (default: themselves); constant columns and nulls give 0."""
     source = df if fitted_on is None else fitted_on
     bounds = source.agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])  # one row
-    scaled = [F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}"), (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(0.0).alias(c) for c in columns]
+    scaled = [F.when((F.col(f"_hi_{c}") > F.col(f"_lo_{c}")) & F.col(c).isNotNull(), (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(0.0).alias(c) for c in columns]
     return df.join(F.broadcast(bounds)).select(*[c for c in df.columns if c not in columns], *scaled)
 
 

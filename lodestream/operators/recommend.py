@@ -105,7 +105,8 @@ def predict(test: DataFrame, ratings: DataFrame, neighbours: int = NEIGHBOURS, p
 
 
 def clip(value: Column, low: float = 1.0, high: float = 5.0) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """The value kept within the bounds; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def hybrid_weight(confidence: Column, user_reviews: Column, business_reviews: Column, user_mean: Column, business_mean: Column, variant: str = "standard") -> Column:
