@@ -17,10 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.operators.pairs import WIDE, pair_counts
 from lodestream.scratch import written
 
-#: Baskets of more kept items than this are counted by lookup instead of by listing their pairs.
-WIDE = 1_000
 #: Degrees above this are put into classes of 1 % width, which keeps the fitted table at a few thousand entries.
 EXACT_DEGREES = 1_000
 
@@ -34,38 +33,6 @@ def usable_items(baskets: DataFrame, n_baskets: int, least: int, lift: float) ->
     return baskets.groupBy("i").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & (F.col("n") * F.lit(float(lift)) <= F.lit(float(n_baskets))))
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of each basket, counted."""
-    a, b = rows.select("s", F.col("i").alias("a")), rows.select("s", F.col("i").alias("b"))
-    return a.join(b.hint("merge"), "s").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-
-
-def pair_counts(kept: DataFrame, least: int, wide: int = WIDE) -> DataFrame:
-    """Exact number of common baskets of every pair (a < b) that has at least ``least``. ``kept``: distinct (s, i).
-
-    Pairs of baskets up to ``wide`` items are listed and counted: at most ``wide / 2`` pairs a row. The pairs of wider
-    baskets, of which there are at most ``rows / wide``, are not listed. Let W be their number. A pair that reaches
-    ``least`` shares a narrow basket, or at least ``least`` wide ones. For the former, wide baskets are looked up for
-    the pairs listed already (if ``W < least``, for those with ``least - W`` narrow baskets). For the latter, only
-    items in at least ``least`` wide baskets are paired, and not at all if ``W < least``.
-    """
-    sizes = kept.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > wide)
-    wide_baskets = written(sizes.select("s"))
-    w = wide_baskets.count()
-    if not w:
-        return _listed(kept).filter(F.col("common") >= least)
-    big = written(kept.join(wide_baskets, "s", "left_semi"))
-    listed = written(_listed(kept.join(wide_baskets, "s", "left_anti")).filter(F.col("common") >= max(1, least - w)))
-    with_a = listed.join(big.select("s", F.col("i").alias("a")), "a")
-    more = with_a.join(big.select("s", F.col("i").alias("b")), ["s", "b"]).groupBy("a", "b").agg(F.count("*").alias("more"))
-    total = listed.join(more, ["a", "b"], "left").select("a", "b", (F.col("common") + F.coalesce("more", F.lit(0))).alias("common"))
-    if w >= least:
-        often = big.groupBy("i").agg(F.count("*").alias("k")).filter(F.col("k") >= least).select("i")
-        only_wide = _listed(big.join(often, "i", "left_semi")).filter(F.col("common") >= least).join(listed, ["a", "b"], "left_anti")
-        total = total.unionByName(only_wide)
-    return total.filter(F.col("common") >= least)
-
-
 def common_baskets(baskets: DataFrame, least: int, lift: float, wide: int = WIDE) -> tuple[DataFrame, int, DataFrame]:
     """(pairs a, b, common, na, nb, lift with at least ``least`` common baskets and that lift; number of baskets; items)."""
     n = baskets.select("s").distinct().count()
