@@ -7,7 +7,7 @@ the document.
 
 Training needs no labels: rules of high precision name the state of the plain cases in a bounded sample of documents,
 the tables are counted from these, and further rounds relabel the sample with the model itself, the plain cases held
-fixed (hard expectation-maximisation).
+fixed (hard expectation-maximisation). Labelling is by the model alone; no rule overrules it.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ CLAUSE_WORDS = frozenset(
     i you he she it we they me us them who which that this there what when while where why how if because since although
     though but and so than then as is are was were be been being am has have had do does did not no never nobody will would
     can could should may might must ever even just very too also still already only both our your their his her my its
+    whoever whatever whichever someone anyone everyone once until unless whether
+    nadie alguien qué quién cuál niemand jemand nichts etwas sobald obwohl personne quelqu quoi dès lorsque nessuno qualcuno ninguém alguém niemand iemand
     que se no es son era fue está están estaba estaban hay ha han había pero porque aunque cuando como donde si ya me nos te su sus mi muy más también sin sino quien esto eso ella ellos yo nosotros todo nada nunca hemos ser tiene
     ich du er sie es wir ihr man mir mich uns sich ihm ihnen dass ist sind war waren hat haben hatte wird werden wurde kann
     muss sollte nicht kein keine aber denn doch weil wenn als ob wie auch noch schon sehr nur mehr hier dort und oder so wo was
@@ -68,6 +70,7 @@ _CELL = re.compile(r"</?t[dhr]\b|\{\{|\}\}|\\hline|\"\s*:\s*[\"\d\[{]", re.I)
 _LOG = re.compile(r"\b\d{1,2}:\d{2}:\d{2}\b|\b(?:ERR|ERROR|WARN|INFO|DEBUG|TRACE|FATAL)\b|\b0x[0-9a-f]+\b|\w+=\w+|\b[\w.]+\(\w*\.?\w*:\d+\)|\bat [\w.$]+\(")
 _DIGIT, _LOWER, _UPPER = re.compile(r"\d"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
 _POINTS = re.compile(r"[.,!?;:'’\"()…-]")
+_FOREIGN = re.compile(r"[\u0370-\u1dff\u2c00-\ua71f\ua800-\uaaff\uabc0-\ufaff\ufb13-\ufdff\ufe70-\ufeff\uff66-\uffdc]")
 _LATIN = re.compile(r"^[a-zà-ÿœßāăąćčďęěğıłńňőřśşšťůűźżž]+$")
 
 
@@ -138,6 +141,11 @@ class Letters:
         return found
 
 
+def _coded(t: str) -> bool:
+    """Too long for a word, or a longer mixture of digits and letters of both cases; letter runs in it are no words."""
+    return len(t) > 12 and (len(t) > 40 and not _FOREIGN.search(t) or bool(_DIGIT.search(t) and _LOWER.search(t) and _UPPER.search(t)))
+
+
 def _repeated(words: list[str]) -> list[bool]:
     """For each word whether the triple it begins came up at most 12 words before, or thrice or more at most 60 apart.
 
@@ -157,14 +165,16 @@ def _repeated(words: list[str]) -> list[bool]:
 
 
 #: Number of values of each feature, in the order of ``features``.
-SIZES = (5, 5, 5, 4, 4, 4, 2, 2, 4, 4, 5, 3, 3, 2, 3)
+SIZES = (5, 5, 5, 4, 4, 4, 2, 2, 4, 4, 5, 3, 3, 2, 3, 4, 16, 16, 160)
+#: Features that rest on the word lists or on blanks between words; unknown (-1) in scripts the lists have no word of.
+LISTED = (0, 1, 2, 10, 16, 17, 18)
 
 
 def features(text: str, letters: Letters) -> tuple[np.ndarray, np.ndarray, list[dict]]:
     """(features of the pieces, their non-blank characters, raw measures) of a text; empty for a blank one."""
     parts = pieces_of(text)
     rows, weights, raws = [], [], []
-    lowered = [_WORD.findall(p.lower()) for p, _ in parts]
+    lowered = [_WORD.findall(" ".join(t for t in p.split() if not _coded(t)).lower()) for p, _ in parts]
     again = _repeated([w for ws in lowered for w in ws])
     offset, known = 0, letters.known
     shapes = [len(_FIELDS.findall(part.strip())) for part, _ in parts]
@@ -183,7 +193,7 @@ def features(text: str, letters: Letters) -> tuple[np.ndarray, np.ndarray, list[
         digits = len(_DIGIT.findall(bare))
         other = solid - alphabetic - digits - len(_POINTS.findall(bare))
         odd = sum(len(w) for w, kind in zip(words, kinds, strict=True) if kind >= 4)
-        mixed = sum(len(t) for t in tokens if len(t) > 12 and (len(t) > 40 or (_DIGIT.search(t) and _LOWER.search(t) and _UPPER.search(t))))
+        mixed = sum(len(t) for t in tokens if _coded(t))
         hashed = sum(t.count("#") for t in tokens if t[0] == "#")
         tagged = sum(map(len, _TAG.findall(bare))) if "<" in bare or "&" in bare or "w." in bare or "://" in bare else 0
         own = again[offset : offset + count]
@@ -202,7 +212,14 @@ def features(text: str, letters: Letters) -> tuple[np.ndarray, np.ndarray, list[
         rows.append((
             bisect_left((0.0, 0.07, 0.15, 0.25), raw["clause"]), bisect_left((0.0, 0.12, 0.25, 0.4), raw["clause"] + raw["link"]), bisect_left((1.5, 2.2, 3.2, 5.0), per_unit), bisect_left((0.0, 0.08, 0.3), raw["digits"]), bisect_left((0.0, 0.04, 0.2), raw["other"]),
             min(3, fields), int(raw["end"]), int(raw["mark"]), bisect_left((0.3, 0.5, 0.7), repeat), bisect_left((0.0, 0.1, 0.4), raw["odd"]), bisect_left((0, 3, 7, 15), count), (2 if alike and fields >= 2 else 1 if alike else 0), min(2, logs), int(key), 2 if raw["cells"] else 1 if raw["tags"] > 0.2 else 0,
+            bisect_left((0.2, 0.4, 0.7), raw["letters"]),
         ))
+        r = rows[-1]
+        # what oddness, repeats, the shape of the units and the end tell depends on the clause and link words
+        talk = 3 if raw["clause"] >= 0.15 else 2 if clause else 1 if raw["link"] >= 0.1 else 0
+        rows[-1] = (*r, talk * 4 + r[9], talk * 4 + r[8], ((talk * 5 + r[2]) * 4 + bisect_left((1, 3, 7), len(units))) * 2 + r[6])
+        if _FOREIGN.search(bare) and 2 * len(_FOREIGN.findall(bare)) > alphabetic:
+            rows[-1] = tuple(-1 if j in LISTED else v for j, v in enumerate(rows[-1]))
         weights.append(solid)
         raws.append(raw)
     return np.array(rows, np.int64).reshape(len(rows), len(SIZES)), np.array(weights, float), raws
@@ -253,7 +270,8 @@ class LineModel:
             both = known[1:] & known[:-1] & ~begins[1:]
             move += np.bincount(s[:-1][both] * 4 + s[1:][both], minlength=16).reshape(4, 4)
             for j, size in enumerate(SIZES):
-                emit[j] += np.bincount(s[known] * size + x[known, j], minlength=4 * size).reshape(4, size)
+                seen = known & (x[:, j] >= 0)
+                emit[j] += np.bincount(s[seen] * size + x[seen, j], minlength=4 * size).reshape(4, size)
         norm = lambda a: np.log(a / a.sum(axis=-1, keepdims=True))
         return cls(norm(first), norm(move), [norm(e) for e in emit], letters)
 
@@ -261,10 +279,8 @@ class LineModel:
         """Most probable states of a document's pieces (Viterbi); ties go to the earlier state."""
         if not len(x):
             return np.zeros(0, np.int64)
-        if fixed is not None and (fixed >= 0).all():
-            return fixed
         # features overlap in what they tell, so their joint evidence is tempered
-        score = sum(e[:, x[:, j]] for j, e in enumerate(self.emit)).T * 0.6
+        score = sum(np.where(x[:, j] >= 0, e[:, x[:, j]], 0.0) for j, e in enumerate(self.emit)).T * 0.6
         if fixed is not None:
             hold = np.flatnonzero(fixed >= 0)
             score[hold] -= 1e3
@@ -314,10 +330,10 @@ def shares(text: str | None, model: LineModel) -> tuple[float, float, float, flo
     """Shares of the states by non-blank characters; null for a text without any."""
     if not text:
         return None
-    x, weight, raw = features(text, model.letters)
+    x, weight, _ = features(text, model.letters)
     if not len(x):
         return None
-    s = model.label(x, np.array([plain_case(r) for r in raw], np.int64))
+    s = model.label(x)
     total = weight.sum()
     return tuple(float(weight[s == k].sum() / total) for k in range(4))
 

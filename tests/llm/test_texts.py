@@ -172,6 +172,23 @@ def test_viterbi_is_the_best_path():
     assert model.label(x).tolist() == list(best)
 
 
+def test_the_model_labels_and_no_rule_overrules_it():
+    model = prose.train(PROSE_TEXTS * 5 + LISTS + TABLES + JUNKS)
+    everything = [*PROSE_TEXTS, *LISTS, *TABLES, *JUNKS, "\n".join([SENTENCES[0], LISTS[0], JUNKS[3]])]
+    for text in everything:
+        x, weight, _ = prose.features(text, model.letters)
+        s = model.label(x)
+        assert prose.shares(text, model) == tuple(float(weight[s == k].sum() / weight.sum()) for k in range(4))
+    x, _, raw = prose.features(SENTENCES[0], model.letters)
+    assert [prose.plain_case(r) for r in raw] == [prose.PROSE]
+    model.emit = [e * 0 for e in model.emit]
+    model.first = np.log(np.array([0.1, 0.1, 0.1, 0.7]))
+    assert prose.shares(SENTENCES[0], model) == (0.0, 0.0, 0.0, 1.0)
+    # scripts the word lists have nothing of
+    model = prose.train(PROSE_TEXTS * 5 + LISTS + TABLES + JUNKS)
+    assert prose.shares("Мы долго ждали, но официант так и не пришёл, и нам пришлось уйти домой голодными.", model)[0] > 0.5
+
+
 def test_labels_and_statistics(spark):
     texts = [*PROSE_TEXTS, *JUNKS, None, "  "]
     d = spark.createDataFrame([(i, t, "EN", "dup") for i, t in enumerate(texts)], "doc_id long, text string, lang string, prose string")
