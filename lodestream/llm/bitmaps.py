@@ -84,6 +84,15 @@ def estimates(part: DataFrame, dims: Sequence[str], m: int) -> DataFrame:
     return out.withColumn("bound_95", F.when(F.col("estimate") > 0, 1.96 * F.col("std_error") / F.col("estimate"))).drop("_ones")
 
 
+def most_rows(df: DataFrame, cells: Sequence[Sequence[str]]) -> int:
+    """Rows of the largest cell; only kinds of cell that no other kind is coarser than can hold it."""
+    most = 0
+    for cell in cells:
+        if not any(set(c) < set(cell) for c in cells):
+            most = max(most, df.groupBy(*cell).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    return most
+
+
 def distinct_cells(df: DataFrame, dims: Sequence[str], cells: Sequence[Sequence[str]], id_col: str, error: float) -> tuple[DataFrame, DataFrame, int]:
     """Estimates for every cell of every kind in ``cells``, with the finest partial results and their ``m``.
 
@@ -91,9 +100,7 @@ def distinct_cells(df: DataFrame, dims: Sequence[str], cells: Sequence[Sequence[
     """
     from lodestream.scratch import written
 
-    coarsest = min(cells, key=len)
-    most = df.filter(F.col(id_col).isNotNull()).groupBy(*coarsest).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    m = bits_for(most, error)
+    m = bits_for(most_rows(df.filter(F.col(id_col).isNotNull()), cells), error)
     fine = written(partials(df, dims, id_col, m))
     coarse = [c for c in cells if set(c) != set(dims)]
     out = estimates(roll_up(fine, dims, coarse), dims, m) if coarse else None

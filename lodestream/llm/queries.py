@@ -25,11 +25,14 @@ _USER, _BUSINESS = clean_id_sql("user_id"), clean_id_sql("business_id")
 DISTINCT_ERROR = 0.01
 _DIMS = ["day", "city", "channel"]
 _CELLS = [["day"], ["day", "city"], ["day", "channel"], ["day", "city", "channel"]]
+#: The report also has the cells over all days.
+_REPORT_CELLS = [*_CELLS, ["city"], ["channel"], ["city", "channel"]]
 
 
 def _visits(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a user; day, city and channel may be null."""
     t = table(spark, d, "stream_users")
-    return t.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "city", "channel", clean_id("user_id").alias("user_id")).filter("user_id is not null and day is not null and city is not null and channel is not null")
+    return t.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "city", "channel", clean_id("user_id").alias("user_id")).filter("user_id is not null")
 
 
 @R.query(f"""
@@ -44,7 +47,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     The bitmaps' estimates leave the cells that are below the line or within six standard errors of it; the ids of
     these cells alone are then counted exactly.
     """
-    v = _visits(spark, d)
+    v = _visits(spark, d).filter("day is not null and city is not null and channel is not null")
     cells, _, _ = bitmaps.distinct_cells(v, _DIMS, _CELLS, "user_id", DISTINCT_ERROR)
     near = F.col("estimate").isNull() | (F.col("estimate") - 6 * F.col("std_error") - 1 < F.col("rows") / 4)
     maybe = broadcast_if_small(written(cells.filter((F.col("rows") >= 20) & near).select(*_DIMS, "rows")))
@@ -55,8 +58,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def p1_distinct_users(spark: SparkSession, d: str) -> DataFrame:
-    """Estimated different users of every cell, with standard error and relative 95 % bound."""
-    return bitmaps.distinct_cells(_visits(spark, d), _DIMS, _CELLS, "user_id", DISTINCT_ERROR)[0]
+    """Estimated different users of every cell, with standard error and relative 95 % bound.
+
+    Rows without a day, city or channel count in the cells that do not use it, and form a cell of their own (null) in
+    the others.
+    """
+    return bitmaps.distinct_cells(_visits(spark, d), _DIMS, _REPORT_CELLS, "user_id", DISTINCT_ERROR)[0]
 
 
 # ---- 2: clusters of centroids ----------------------------------------------------------------------------------------

@@ -1,10 +1,29 @@
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+
 import pytest
 
+import __spark_entry__ as entry
+from lodestream.llm.bitmaps import ALL
 from tests.compare import agree
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p6_found", "p10_text_statistics"])
 def test_query_equals_its_sql(spark, name):
     agree(spark, name)
+
+
+def test_distinct_users_keep_rows_without_city_and_all_kinds_of_cell(spark, tmp_path):
+    days, cities, channels = ["2024-01-01", "2024-01-02"], ["x", "y", None], ["app", None]
+    rows = [(f"{d} 10:00:00", c, h, f"u{k}") for k, (d, c, h, _) in enumerate(itertools.product(days, cities, channels, range(5)))]
+    rows += [(f"{d} 11:00:00", "x", "app", "both") for d in days] + [(None, "x", "app", "dayless"), ("2024-01-01 12:00:00", "x", "app", None)]
+    spark.createDataFrame(rows, "ts string, city string, channel string, user_id string").selectExpr("cast(ts as timestamp) as ts", "city", "channel", "user_id").write.parquet(str(tmp_path / "stream_users.parquet"))
+    want = defaultdict(set)
+    for ts, c, h, u in rows:
+        for used in itertools.product([True, False], repeat=3):
+            if u and any(used):
+                want[tuple(v if use else ALL for v, use in zip((ts and ts[:10], c, h), used, strict=True))].add(u)
+    got = {(r["day"], r["city"], r["channel"]): round(r["estimate"]) for r in entry.queries()["p1_distinct_users"](spark, str(tmp_path)).collect()}
+    assert got == {cell: len(users) for cell, users in want.items()}
