@@ -130,10 +130,13 @@ def surprise(pairs: DataFrame, sizes: tuple[np.ndarray, np.ndarray], frequencies
         for whole in batches:
             for lo in range(0, len(whole), 2_000):
                 pdf = whole.iloc[lo : lo + 2_000].copy()
-                ya, yb = (np.exp(np.interp(np.log(pdf[c].to_numpy(float)), log_f, log_y)) for c in ("na", "nb"))
+                # pairs of the same degrees and count have the same tail
+                cases, case = np.unique(pdf[["na", "nb", "common"]].to_numpy(np.int64), axis=0, return_inverse=True)
+                case = case.reshape(-1)
+                ya, yb = (np.exp(np.interp(np.log(cases[:, c].astype(float)), log_f, log_y)) for c in (0, 1))
                 pa, pb = (np.outer(v, x) / (1 + np.outer(v, x)) for v in (ya, yb))
-                pdf["expected"] = (ck * pa * pb).sum(axis=1)
-                pdf["surprise"] = -log10_tail(pa * pb, ck, pdf["common"].to_numpy())
+                pdf["expected"] = (ck * pa * pb).sum(axis=1)[case]
+                pdf["surprise"] = -log10_tail(pa * pb, ck, cases[:, 2])[case]
                 yield pdf
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("expected", T.DoubleType()), T.StructField("surprise", T.DoubleType())])

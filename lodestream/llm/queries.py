@@ -170,10 +170,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def p6_surprise(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs with common users, lift, expected common users under the fitted null, surprise and significance."""
+    """All pairs with a common user: common users, lift, expected ones under the fitted null, surprise and significance."""
     t = _train(spark, d)
     baskets = written(incidence.pairs(t, "user_id", "business_id"))
-    pairs, _, items = cooccur.common_baskets(baskets, LEAST_TOGETHER, 1.0)
+    pairs, _, items = cooccur.common_baskets(baskets, 1, 0.0)
     sizes, frequencies = cooccur.degree_table(baskets, "s"), cooccur.degree_table(baskets, "i")
     x, y = cooccur.fit_null(sizes, frequencies)
     scored = written(cooccur.surprise(written(pairs), sizes, frequencies, x, y))
