@@ -17,8 +17,8 @@ from lodestream.sources.views import with_views
 
 R = Registry()
 
-#: Common users that make an edge, and for the loop that takes the graph apart.
-SHARED, CLOSE, K = 20, 30, 10
+#: Common users that make an edge; clusters of points.
+SHARED, K = 20, 10
 
 
 def _edges(spark: SparkSession, d: str, least: int = SHARED) -> DataFrame:
@@ -88,7 +88,7 @@ def betweenness_report(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
-    return G.girvan_newman(_edges(spark, d, CLOSE))
+    return G.girvan_newman(_edges(spark, d))
 
 
 # ---- clustering of points --------------------------------------------------------------------------------------------
