@@ -284,19 +284,19 @@ def _model(spark: SparkSession, d: str, columns: list[str], **how: object) -> Da
 @R.query()
 def gbt_predict(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees over the 21 features, scaled."""
-    return _model(spark, d, X.FEATURES_21, trees=10, scale=True).select("user_id", "business_id", "prediction")
+    return _model(spark, d, X.FEATURES_21, trees=20, scale=True).select("user_id", "business_id", "prediction")
 
 
 @R.query()
 def gbt_predict_8(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees over the 8 features."""
-    return _model(spark, d, X.FEATURES_8, trees=10).select("user_id", "business_id", "prediction")
+    return _model(spark, d, X.FEATURES_8, trees=55, depth=7).select("user_id", "business_id", "prediction")
 
 
 @R.query()
 def hybrid_predict(spark: SparkSession, d: str) -> DataFrame:
     """Neighbourhood and model predictions, blended by the dynamic weight."""
-    model = _model(spark, d, X.FEATURES_22, trees=10).select("user_id", "business_id", F.col("prediction").alias("model"))
+    model = _model(spark, d, X.FEATURES_22, trees=20).select("user_id", "business_id", F.col("prediction").alias("model"))
     both = _weights(spark, d, "standard").join(model, ["user_id", "business_id"])
     return both.select("user_id", "business_id", P.blend(F.col("weight"), F.col("prediction"), F.col("model")).alias("prediction"))
 
@@ -304,5 +304,5 @@ def hybrid_predict(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def model_rmse(spark: SparkSession, d: str) -> DataFrame:
     """Error of the boosted trees on the reviews' stars."""
-    p = _model(spark, d, X.FEATURES_21, trees=10, scale=True).select("user_id", "business_id", "prediction")
+    p = _model(spark, d, X.FEATURES_21, trees=20, scale=True).select("user_id", "business_id", "prediction")
     return P.rmse(P.with_error(p, _actual(spark, d)))

@@ -19,3 +19,20 @@ def test_query_equals_its_sql(spark, name):
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["city", "stars"]
+
+
+def test_boosted_trees_have_the_sizes_of_the_survey(monkeypatch):
+    from lodestream.plans import ratings as Q
+
+    sizes = []
+    monkeypatch.setattr(Q, "_model", lambda spark, d, columns, **how: sizes.append((len(columns), how.get("trees", 20), how.get("depth", 5))) or _Stop.now())
+    for query in (Q.gbt_predict, Q.gbt_predict_8, Q.hybrid_predict, Q.model_rmse):
+        with pytest.raises(_Stop):
+            query(None, "")
+    assert sizes == [(21, 20, 5), (8, 55, 7), (22, 20, 5), (21, 20, 5)]
+
+
+class _Stop(Exception):
+    @classmethod
+    def now(cls):
+        raise cls
