@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 #: Words of a piece of a long line; characters where a line has no blanks.
-PIECE_WORDS, PIECE_CHARS = 60, 480
+PIECE_WORDS, PIECE_CHARS = 30, 240
 #: Documents the model is trained on at most (those with the smallest hash of doc_id).
 SAMPLE_DOCS = 1_500
 ROUNDS = 3
@@ -147,9 +147,10 @@ def _coded(t: str) -> bool:
 
 
 def _repeated(words: list[str]) -> list[bool]:
-    """For each word whether the triple it begins came up at most 12 words before, or thrice or more at most 60 apart.
+    """For each word whether the triple it begins came up at most 12 words before, or thrice or more before in the text.
 
-    Phrases repeated over and over come back at once; a sentence that someone writes twice does not.
+    Phrases repeated over and over come back at once, dumped blocks of any length again and again; a sentence that
+    someone writes twice does not.
     """
     grams = list(zip(words, words[1:], words[2:], strict=False))
     if len(set(grams)) == len(grams):
@@ -157,10 +158,9 @@ def _repeated(words: list[str]) -> list[bool]:
     last: dict[tuple[str, str, str], tuple[int, int]] = {}
     out = []
     for k, gram in enumerate(grams):
-        at, times = last.get(gram, (-61, 0))
-        times = times + 1 if k - at <= 60 else 0
-        out.append(k - at <= 12 or times >= 3)
-        last[gram] = (k, times)
+        at, times = last.get(gram, (-61, -1))
+        out.append(k - at <= 12 or times + 1 >= 3)
+        last[gram] = (k, times + 1)
     return out
 
 

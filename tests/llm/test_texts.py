@@ -189,6 +189,15 @@ def test_the_model_labels_and_no_rule_overrules_it():
     assert prose.shares("Мы долго ждали, но официант так и не пришёл, и нам пришлось уйти домой голодными.", model)[0] > 0.5
 
 
+def test_pieces_are_small_and_repeats_are_found_at_any_distance():
+    line = " ".join(f"word{k}" for k in range(100))
+    assert max(len(p.split()) for p, _ in prose.pieces_of(line)) <= 30 and " ".join(p for p, _ in prose.pieces_of(line)) == line
+    block = [f"w{k}" for k in range(150)]
+    again = prose._repeated(block * 6)
+    assert not any(again[:448]) and all(again[450:])
+    assert not any(prose._repeated(block * 2))
+
+
 def test_labels_and_statistics(spark):
     texts = [*PROSE_TEXTS, *JUNKS, None, "  "]
     d = spark.createDataFrame([(i, t, "EN", "dup") for i, t in enumerate(texts)], "doc_id long, text string, lang string, prose string")
