@@ -5,29 +5,31 @@ prose, list, table and junk labels the lines of a document: a feature speaks for
 show it, and neighbouring lines tend to share their state. The shares of the labels, by non-blank characters, describe
 the document.
 
-Training needs no labels: rules of high precision name the state of the plain cases in a bounded sample of documents,
-the tables are counted from these, and further rounds relabel the sample with the model itself, the plain cases held
-fixed (hard expectation-maximisation). Labelling is by the model alone; no rule overrules it.
+Training needs no labels: rules of high precision name the state of the plain cases, and first states, transitions and
+feature values are counted from these, over all documents. So are the letter pairs that tell words from letter runs.
+Both are partial sums per task, added up in a shuffle of at most a few thousand distinct cells. Features are computed
+once per document and written; labelling reads them back and is by the model alone: no rule overrules it.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.scratch import written
+
 STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 #: Words of a piece of a long line; characters where a line has no blanks.
 PIECE_WORDS, PIECE_CHARS = 30, 240
-#: Documents the model is trained on at most (those with the smallest hash of doc_id).
-SAMPLE_DOCS = 1_500
-ROUNDS = 3
+#: Words back at which a repeated triple is junk by itself; triples in a row at one distance that make a copy.
+NEAR, COPY = 12, 30
 
 # Words that make clauses (pronouns, auxiliaries, conjunctions, negations, question words).
 CLAUSE_WORDS = frozenset(
@@ -112,12 +114,17 @@ class Letters:
     def __init__(self, table: np.ndarray) -> None:
         self.table, self.known = table.tolist(), {}
 
+    @staticmethod
+    def pairs(texts: Sequence[str]) -> np.ndarray:
+        """How often each of 28 x 28 pairs occurs in whole texts: no letter (0), a-z, other letters (27)."""
+        points = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "replace"), np.uint32)
+        codes = np.where((points >= 97) & (points <= 122), points - 96, np.where(points < 192, 0, 27)).astype(np.int64)
+        return np.bincount(codes[:-1] * 28 + codes[1:], minlength=28 * 28)
+
     @classmethod
-    def counted(cls, words: list[str]) -> Letters:
-        """Log2 probabilities of the next letter, add-one smoothed; letters beyond a-z share one place each side."""
-        points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.int64)
-        codes = np.where(points == 32, 0, np.where((points >= 97) & (points <= 122), points - 96, 27))
-        n = 1.0 + np.bincount(codes[:-1] * 28 + codes[1:], minlength=28 * 28).reshape(28, 28)
+    def counted(cls, pairs: np.ndarray) -> Letters:
+        """Log2 probabilities of the next letter, add-one smoothed."""
+        n = 1.0 + pairs.reshape(28, 28)
         return cls(np.log2(n / n.sum(axis=1, keepdims=True)))
 
     @staticmethod
@@ -142,26 +149,33 @@ class Letters:
 
 
 def _coded(t: str) -> bool:
-    """Too long for a word, or a longer mixture of digits and letters of both cases; letter runs in it are no words."""
-    return len(t) > 12 and (len(t) > 40 and not _FOREIGN.search(t) or bool(_DIGIT.search(t) and _LOWER.search(t) and _UPPER.search(t)))
+    """Of a token of over 12 characters: too long for a word, or a mixture of digits and letters of both cases; letter
+    runs in it are no words."""
+    return len(t) > 40 and not _FOREIGN.search(t) or bool(_DIGIT.search(t) and _LOWER.search(t) and _UPPER.search(t))
 
 
 def _repeated(words: list[str]) -> list[bool]:
-    """For each word whether the triple it begins came up at most 12 words before, or thrice or more before in the text.
+    """For each word whether the triple it begins came up at most ``NEAR`` words before, or is in the fourth or a later
+    copy of a longer passage: among ``COPY`` triples or more in a row that all came up the same distance before.
 
-    Phrases repeated over and over come back at once, dumped blocks of any length again and again; a sentence that
-    someone writes twice does not.
+    Phrases repeated over and over come back at once, dumped blocks of any length as a whole; a sentence that someone
+    writes again and again, between others, does neither.
     """
     grams = list(zip(words, words[1:], words[2:], strict=False))
     if len(set(grams)) == len(grams):
         return [False] * len(grams)
-    last: dict[tuple[str, str, str], tuple[int, int]] = {}
-    out = []
-    for k, gram in enumerate(grams):
-        at, times = last.get(gram, (-61, -1))
-        out.append(k - at <= 12 or times + 1 >= 3)
-        last[gram] = (k, times + 1)
-    return out
+    codes = pd.factorize(np.array(words, object))[0]
+    pair = pd.factorize(codes[:-1] * len(words) + codes[1:])[0]
+    gram = pd.factorize(pair[:-1] * len(words) + codes[2:])[0]
+    order = np.argsort(gram, kind="stable")
+    begins = np.r_[True, gram[order][1:] != gram[order][:-1]]
+    place = np.arange(len(gram))
+    lag, earlier = np.zeros(len(gram), np.int64), np.empty(len(gram), np.int64)
+    lag[order[1:]] = np.where(begins[1:], 0, order[1:] - order[:-1])
+    earlier[order] = place - np.maximum.accumulate(np.where(begins, place, 0))
+    edge = np.flatnonzero(np.r_[True, lag[1:] != lag[:-1]])
+    run = np.repeat(np.diff(np.r_[edge, len(lag)]), np.diff(np.r_[edge, len(lag)]))
+    return (((lag > 0) & (lag <= NEAR)) | ((lag > NEAR) & (run >= COPY) & (earlier >= 3))).tolist()
 
 
 #: Number of values of each feature, in the order of ``features``.
@@ -174,14 +188,16 @@ def features(text: str, letters: Letters) -> tuple[np.ndarray, np.ndarray, list[
     """(features of the pieces, their non-blank characters, raw measures) of a text; empty for a blank one."""
     parts = pieces_of(text)
     rows, weights, raws = [], [], []
-    lowered = [_WORD.findall(" ".join(t for t in p.split() if not _coded(t)).lower()) for p, _ in parts]
+    split = [p.split() for p, _ in parts]
+    codes = [[t for t in ts if len(t) > 12 and _coded(t)] for ts in split]
+    lowered = [_WORD.findall((" ".join(t for t in ts if t not in cs) if cs else p).lower()) for (p, _), ts, cs in zip(parts, split, codes, strict=True)]
     again = _repeated([w for ws in lowered for w in ws])
     offset, known = 0, letters.known
     shapes = [len(_FIELDS.findall(part.strip())) for part, _ in parts]
     for k, (part, _) in enumerate(parts):
         words = lowered[k]
         bare = part.strip()
-        tokens = bare.split()
+        tokens = split[k]
         solid = sum(map(len, tokens))
         count = len(words)
         kinds = [known[w] if w in known else letters.kind(w) for w in words]
@@ -193,8 +209,8 @@ def features(text: str, letters: Letters) -> tuple[np.ndarray, np.ndarray, list[
         digits = len(_DIGIT.findall(bare))
         other = solid - alphabetic - digits - len(_POINTS.findall(bare))
         odd = sum(len(w) for w, kind in zip(words, kinds, strict=True) if kind >= 4)
-        mixed = sum(len(t) for t in tokens if _coded(t))
-        hashed = sum(t.count("#") for t in tokens if t[0] == "#")
+        mixed = sum(map(len, codes[k]))
+        hashed = sum(t.count("#") for t in tokens if t[0] == "#") if "#" in bare else 0
         tagged = sum(map(len, _TAG.findall(bare))) if "<" in bare or "&" in bare or "w." in bare or "://" in bare else 0
         own = again[offset : offset + count]
         repeat = sum(own) / count if count else 0.0
@@ -243,6 +259,10 @@ def plain_case(r: dict) -> int:
         return LIST
     if r["clause"] >= 0.15 and r["words"] >= 8 and r["repeat"] < 0.5 and r["per_unit"] >= 2.5 and r["digits"] < 0.15:
         return PROSE
+    if r["clause"] > 0 and r["clause"] + r["link"] >= 0.25 and r["words"] >= 6 and r["end"] and r["repeat"] < 0.3 and r["per_unit"] >= 2.5 and r["digits"] < 0.15 and r["odd"] < 0.1:
+        return PROSE  # without sentences of few clause words the model would count them to the junk, for want of any like them
+    if r["link"] >= 0.25 and r["words"] >= 8 and r["end"] and r["units"] <= 2 and r["repeat"] < 0.3 and r["digits"] < 0.15 and r["odd"] < 0.1:
+        return PROSE
     if r["clause"] == 0 and r["words"] >= 2 and r["per_unit"] <= 3.0 and r["digits"] < 0.25 and (r["mark"] or r["units"] >= 4):
         return LIST
     if r["clause"] == 0 and r["words"] >= 10 and r["units"] <= 2 and r["link"] < 0.1:
@@ -250,6 +270,25 @@ def plain_case(r: dict) -> int:
     return -1
 
 
+#: Cells of the counts: first states, transitions, and state by value of each feature, one after another.
+_STARTS = np.cumsum([0, 4, 16, *(4 * size for size in SIZES)])
+
+
+def cells(x: np.ndarray, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Counts by cell from the features and states (-1: unknown, skipped) of documents of the given lengths, end to end."""
+    out = np.zeros(_STARTS[-1], np.int64)
+    begins = np.zeros(len(s), bool)
+    begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    known = s >= 0
+    out[:4] = np.bincount(s[begins & known], minlength=4)
+    both = known[1:] & known[:-1] & ~begins[1:]
+    out[4:20] = np.bincount(s[:-1][both] * 4 + s[1:][both], minlength=16)
+    for j, size in enumerate(SIZES):
+        seen = known & (x[:, j] >= 0)
+        out[_STARTS[j + 2] : _STARTS[j + 3]] = np.bincount(s[seen] * size + x[seen, j], minlength=4 * size)
+    return out
+
+
 class LineModel:
     """Log probabilities of first states, transitions and feature values."""
 
@@ -257,73 +296,121 @@ class LineModel:
         self.first, self.move, self.emit, self.letters = first, move, emit, letters
 
     @classmethod
-    def counted(cls, docs: list[tuple[np.ndarray, np.ndarray]], letters: Letters) -> LineModel:
-        """From documents' features and states (-1: unknown, skipped), with add-one smoothing."""
-        first, move = np.ones(4), np.ones((4, 4)) + 4 * np.eye(4)
-        emit = [np.ones((4, size)) for size in SIZES]
-        if docs:
-            x, s = np.concatenate([x for x, _ in docs]), np.concatenate([s for _, s in docs])
-            begins = np.zeros(len(s), bool)
-            begins[np.cumsum([0, *(len(s) for _, s in docs[:-1])])] = True
-            known = s >= 0
-            first += np.bincount(s[begins & known], minlength=4)
-            both = known[1:] & known[:-1] & ~begins[1:]
-            move += np.bincount(s[:-1][both] * 4 + s[1:][both], minlength=16).reshape(4, 4)
-            for j, size in enumerate(SIZES):
-                seen = known & (x[:, j] >= 0)
-                emit[j] += np.bincount(s[seen] * size + x[seen, j], minlength=4 * size).reshape(4, size)
+    def counted(cls, counts: np.ndarray, letters: Letters) -> LineModel:
+        """From counts by cell, add-one smoothed, with a bias to staying in a state."""
         norm = lambda a: np.log(a / a.sum(axis=-1, keepdims=True))
-        return cls(norm(first), norm(move), [norm(e) for e in emit], letters)
+        emit = [norm(1.0 + counts[_STARTS[j + 2] : _STARTS[j + 3]].reshape(4, size)) for j, size in enumerate(SIZES)]
+        return cls(norm(1.0 + counts[:4]), norm(1.0 + 4 * np.eye(4) + counts[4:20].reshape(4, 4)), emit, letters)
 
-    def label(self, x: np.ndarray, fixed: np.ndarray | None = None) -> np.ndarray:
-        """Most probable states of a document's pieces (Viterbi); ties go to the earlier state."""
+    def label(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Most probable states (Viterbi) of the pieces of documents of the given lengths, end to end (default: one
+        document); ties go to the earlier state. All documents advance together, one piece a step."""
+        lengths = np.array([len(x)]) if lengths is None else lengths
         if not len(x):
             return np.zeros(0, np.int64)
         # features overlap in what they tell, so their joint evidence is tempered
         score = sum(np.where(x[:, j] >= 0, e[:, x[:, j]], 0.0) for j, e in enumerate(self.emit)).T * 0.6
-        if fixed is not None:
-            hold = np.flatnonzero(fixed >= 0)
-            score[hold] -= 1e3
-            score[hold, fixed[hold]] += 1e3
-        move = [tuple(self.move[:, b]) for b in range(4)]
-        rows = score.tolist()
-        best = [f + e for f, e in zip(self.first.tolist(), rows[0], strict=True)]
-        back = []
-        for row in rows[1:]:
-            came, new = [], []
-            for b in range(4):
-                m = move[b]
-                ways = (best[0] + m[0], best[1] + m[1], best[2] + m[2], best[3] + m[3])
-                top = max(ways)
-                came.append(ways.index(top))
-                new.append(top + row[b])
-            back.append(came)
-            best = new
-        at = best.index(max(best))
-        out = [at]
-        for came in reversed(back):
-            at = came[at]
-            out.append(at)
-        return np.array(out[::-1], np.int64)
-
-
-def train(texts: list[str], rounds: int = ROUNDS) -> LineModel:
-    """A model from unlabelled texts; with none or few, the smoothing and the plain cases decide."""
-    lines = [_WORD.findall(part.lower()) for t in texts for part, _ in pieces_of(t)]
-    clauses = [w for ws in lines if sum(w in CLAUSE_WORDS for w in ws) >= 0.15 * len(ws) for w in ws]
-    letters = Letters.counted(clauses)
-    docs = [(x, np.array([plain_case(r) for r in raw], np.int64)) for x, _, raw in (features(t, letters) for t in texts)]
-    docs = [(x, s) for x, s in docs if len(x)]
-    model = LineModel.counted(docs, letters)
-    for _ in range(rounds):
-        model = LineModel.counted([(x, model.label(x, s)) for x, s in docs], letters)
-    return model
-
-
-def train_on(docs: DataFrame, most: int = SAMPLE_DOCS) -> LineModel:
-    """Trains on the ``most`` non-blank documents with the smallest hash of doc_id; the sample is bounded by it."""
-    some = docs.filter(F.col("text").isNotNull() & (F.btrim("text") != "")).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(most)
-    return train([r["text"] for r in some.select("text").collect()])
+        order = np.argsort(-lengths, kind="stable")
+        start = (np.cumsum(lengths) - lengths)[order]
+        longest_first = lengths[order]
+        start, longest_first = start[longest_first > 0], longest_first[longest_first > 0]
+        alive = np.searchsorted(-longest_first, -np.arange(longest_first[0]), side="left")  # documents that have a piece t
+        back = np.zeros(score.shape, np.int8)
+        best = self.first + score[start]
+        for t in range(1, longest_first[0]):
+            n = alive[t]
+            ways = best[:n, :, None] + self.move
+            back[start[:n] + t] = ways.argmax(axis=1)
+            best[:n] = ways.max(axis=1) + score[start[:n] + t]
+        out = np.empty(len(x), np.int64)
+        at = best.argmax(axis=1)
+        for t in range(longest_first[0] - 1, -1, -1):
+            n = alive[t]
+            out[start[:n] + t] = at[:n]
+            at[:n] = back[start[:n] + t, at[:n]]
+        return out
+
+
+def train(texts: list[str]) -> LineModel:
+    """A model from unlabelled texts on the driver, by the same counts as :func:`train_on`; for small samples."""
+    letters = Letters.counted(Letters.pairs(texts))
+    found = [(x, [plain_case(r) for r in raw]) for x, _, raw in (features(t, letters) for t in texts)]
+    return LineModel.counted(cells(np.concatenate([x for x, _ in found]), np.array([s for _, ss in found for s in ss], np.int64), np.array([len(x) for x, _ in found])), letters)
+
+
+CELLS = "cell int, n long"
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Counts by cell over all tasks; at most ``size`` rows reach the driver."""
+    out = np.zeros(size, np.int64)
+    for r in parts.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def _cell_rows(total: np.ndarray) -> pd.DataFrame:
+    some = np.flatnonzero(total)
+    return pd.DataFrame({"cell": some.astype(np.int32), "n": total[some]})
+
+
+def letters_of(docs: DataFrame) -> Letters:
+    """The letter-pair table over the texts of all documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(28 * 28, np.int64)
+        for pdf in batches:
+            total += Letters.pairs(pdf["text"].tolist())
+        yield _cell_rows(total)
+
+    return Letters.counted(_summed(docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, CELLS), 28 * 28))
+
+
+FEATURED = "doc_id long, pieces int, x binary, weight binary, state binary"
+
+
+def featured(docs: DataFrame, letters: Letters) -> DataFrame:
+    """Features, non-blank characters and plain states of every document's pieces, packed as bytes, written.
+
+    Null and blank texts have 0 pieces.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                x, weight, raw = features(text or "", letters)
+                rows.append((len(x), (x + 1).astype(np.uint8).tobytes(), weight.astype(np.int32).tobytes(), np.array([plain_case(r) for r in raw], np.int8).tobytes()))
+            out = pd.DataFrame(rows, columns=["pieces", "x", "weight", "state"])
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield out
+
+    return written(docs.select("doc_id", "text").mapInPandas(run, FEATURED))
+
+
+def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, weights, states, lengths) of a batch of packed documents, end to end."""
+    x = np.frombuffer(b"".join(pdf["x"]), np.uint8).reshape(-1, len(SIZES)).astype(np.int64) - 1
+    return x, np.frombuffer(b"".join(pdf["weight"]), np.int32).astype(float), np.frombuffer(b"".join(pdf["state"]), np.int8).astype(np.int64), pdf["pieces"].to_numpy().astype(np.int64)
+
+
+def counted(packed: DataFrame, letters: Letters) -> LineModel:
+    """The model of all documents' plain cases."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(_STARTS[-1], np.int64)
+        for pdf in batches:
+            x, _, s, lengths = _unpacked(pdf)
+            total += cells(x, s, lengths)
+        yield _cell_rows(total)
+
+    return LineModel.counted(_summed(packed.filter("pieces > 0").mapInPandas(run, CELLS), _STARTS[-1]), letters)
+
+
+def train_on(docs: DataFrame) -> LineModel:
+    """The model of ``docs`` (doc_id, text)."""
+    letters = letters_of(docs)
+    return counted(featured(docs, letters), letters)
 
 
 def shares(text: str | None, model: LineModel) -> tuple[float, float, float, float] | None:
@@ -341,17 +428,33 @@ def shares(text: str | None, model: LineModel) -> tuple[float, float, float, flo
 LABELLED = "doc_id long, prose double, list double, table double, junk double"
 
 
-def label_shares(docs: DataFrame, model: LineModel) -> DataFrame:
-    """doc_id, prose, list, table, junk: shares of each document's non-blank characters; nulls for blank texts."""
+def label_packed(packed: DataFrame, model: LineModel) -> DataFrame:
+    """doc_id, prose, list, table, junk of packed documents: shares of non-blank characters; nulls without pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shares(t, model) or (None,) * 4 for t in pdf["text"]]
-            out = pd.DataFrame(found, columns=["prose", "list", "table", "junk"], dtype="float64")
+            x, weight, _, lengths = _unpacked(pdf)
+            cell = np.repeat(np.arange(len(pdf)), lengths) * 4 + model.label(x, lengths)
+            sums = np.bincount(cell, weights=weight, minlength=4 * len(pdf)).reshape(-1, 4)
+            with np.errstate(invalid="ignore"):
+                found = sums / sums.sum(axis=1, keepdims=True)
+            out = pd.DataFrame(found, columns=list(STATES))  # NaN, which Arrow takes for null, without pieces
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, LABELLED)
+    return packed.mapInPandas(run, LABELLED)
+
+
+def label_shares(docs: DataFrame, model: LineModel) -> DataFrame:
+    """The shares of documents (doc_id, text) under a model trained before."""
+    return label_packed(featured(docs, model.letters), model)
+
+
+def label_documents(docs: DataFrame) -> DataFrame:
+    """The shares of documents (doc_id, text) under the model of themselves; features are computed once."""
+    letters = letters_of(docs)
+    packed = featured(docs, letters)
+    return label_packed(packed, counted(packed, letters))
 
 
 def statistics(docs: DataFrame, common: DataFrame) -> DataFrame:

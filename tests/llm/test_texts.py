@@ -172,6 +172,13 @@ def test_viterbi_is_the_best_path():
     assert model.label(x).tolist() == list(best)
 
 
+def test_documents_of_a_batch_do_not_meet():
+    model = prose.train(PROSE_TEXTS + LISTS + TABLES + JUNKS)
+    xs = [prose.features(t, model.letters)[0] for t in ["\n".join([SENTENCES[0], LISTS[0], JUNKS[3]]), "", SENTENCES[1], JUNKS[0], TABLES[0] + "\n" + PROSE_TEXTS[1]]]
+    together = model.label(np.concatenate(xs), np.array([len(x) for x in xs]))
+    assert together.tolist() == [v for x in xs for v in model.label(x).tolist()]
+
+
 def test_the_model_labels_and_no_rule_overrules_it():
     model = prose.train(PROSE_TEXTS * 5 + LISTS + TABLES + JUNKS)
     everything = [*PROSE_TEXTS, *LISTS, *TABLES, *JUNKS, "\n".join([SENTENCES[0], LISTS[0], JUNKS[3]])]
@@ -196,6 +203,11 @@ def test_pieces_are_small_and_repeats_are_found_at_any_distance():
     again = prose._repeated(block * 6)
     assert not any(again[:448]) and all(again[450:])
     assert not any(prose._repeated(block * 2))
+    # sentences that come again between others are no copies; a phrase over and over is
+    rng = np.random.default_rng(0)
+    sentences = [[f"s{k}w{j}" for j in range(12)] for k in range(40)]
+    assert not any(prose._repeated([w for k in rng.permutation(np.repeat(np.arange(40), 8)) for w in ["and", f"x{rng.integers(1 << 40)}", *sentences[k]]]))
+    assert all(prose._repeated("buy it now".split() * 9)[3:])
 
 
 def test_labels_and_statistics(spark):
