@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lodestream.functions.ids import clean_id, clean_id_sql
 from lodestream.llm import bitmaps, centroids, cooccur, forest, incidence, mixing, packing, prose, quotient
 from lodestream.llm.tokens import VOCABULARY, token_count
-from lodestream.operators.skew import broadcast_if_small
 from lodestream.plans.registry import Registry
 from lodestream.scratch import written
 from lodestream.sources.tables import table
@@ -44,16 +43,29 @@ select day, city, channel from c where n >= 20 and u * 4 < n""")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Cells of at least 20 rows with fewer different users than a quarter of the rows.
 
-    The bitmaps' estimates leave the cells that are below the line or within six standard errors of it; the ids of
-    these cells alone are then counted exactly.
+    The bitmaps decide all cells that are clear of the line; only those within six standard errors and two users of it
+    (``p1_recounts`` tells how many) are counted exactly.
     """
+    v, judged = _judged(spark, d)
+    near = written(judged.filter("below is null").select("kind", *_DIMS, "rows"))
+    clear = judged.filter("below").select(*_DIMS)
+    exact = bitmaps.exact_cells(v, _DIMS, _CELLS, "user_id", near)
+    return clear.unionByName(near.join(exact, ["kind", *_DIMS]).filter("ids * 4 < rows").select(*_DIMS))
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(visits with all dimensions; their cells of at least 20 rows with ``below``, null where too near to tell)."""
     v = _visits(spark, d).filter("day is not null and city is not null and channel is not null")
     cells, _, _ = bitmaps.distinct_cells(v, _DIMS, _CELLS, "user_id", DISTINCT_ERROR)
-    near = F.col("estimate").isNull() | (F.col("estimate") - 6 * F.col("std_error") - 1 < F.col("rows") / 4)
-    maybe = broadcast_if_small(written(cells.filter((F.col("rows") >= 20) & near).select(*_DIMS, "rows")))
-    kept = F.explode(F.array(*[F.struct(*[(F.col(c) if c in cell else F.lit(bitmaps.ALL)).alias(c) for c in _DIMS]) for cell in _CELLS]))
-    ids = v.select(kept.alias("_cell"), "user_id").select("_cell.*", "user_id").join(maybe, _DIMS).groupBy(*_DIMS, "rows", "user_id").agg(F.lit(1).alias("one"))
-    return ids.groupBy(*_DIMS, "rows").agg(F.count("one").alias("users")).filter("users * 4 < rows").select(*_DIMS)
+    return v, written(bitmaps.below_share(cells.filter("rows >= 20"), 0.25))
+
+
+@R.query()
+def p1_recounts(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of cell: cells, those the bitmaps find below or above the line, and those to be counted exactly."""
+    kind = F.get(F.array(*[F.lit(" x ".join(c)) for c in _CELLS]), F.col("kind"))
+    counts = [F.count("*").alias("cells"), F.count_if(F.col("below")).alias("below"), F.count_if(~F.col("below")).alias("above"), F.count_if(F.col("below").isNull()).alias("recounted")]
+    return _judged(spark, d)[1].groupBy(kind.alias("kind")).agg(*counts)
 
 
 @R.query()
@@ -63,7 +75,7 @@ def p1_distinct_users(spark: SparkSession, d: str) -> DataFrame:
     Rows without a day, city or channel count in the cells that do not use it, and form a cell of their own (null) in
     the others.
     """
-    return bitmaps.distinct_cells(_visits(spark, d), _DIMS, _REPORT_CELLS, "user_id", DISTINCT_ERROR)[0]
+    return bitmaps.distinct_cells(_visits(spark, d), _DIMS, _REPORT_CELLS, "user_id", DISTINCT_ERROR)[0].drop("kind")
 
 
 # ---- 2: clusters of centroids ----------------------------------------------------------------------------------------
@@ -228,8 +240,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return prose.label_shares(docs, prose.train_on(docs))
+    return prose.label_documents(table(spark, d, "documents"))
 
 
 @R.query()

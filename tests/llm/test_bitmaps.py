@@ -40,22 +40,47 @@ def test_estimates_lie_within_their_bound(spark):
 
 def test_partials_merge_to_the_whole(spark):
     df = visits(spark, sample())
-    m = 1 << 12
-    whole = B.partials(df, DIMS, "user_id", m)
-    early, late = B.partials(df.filter("city = 'x'"), DIMS, "user_id", m), B.partials(df.filter("city = 'y'"), DIMS, "user_id", m)
-    key = lambda x: sorted(map(tuple, x.select(*DIMS, "word", "bits", "rows").collect()))
+    sizes = [1 << 12, 1 << 11]
+    whole = B.partials(df, DIMS, CELLS, "user_id", sizes)
+    early, late = B.partials(df.filter("city = 'x'"), DIMS, CELLS, "user_id", sizes), B.partials(df.filter("city = 'y'"), DIMS, CELLS, "user_id", sizes)
+    key = lambda x: sorted((r["kind"], r["day"], r["city"], r["block"], tuple(r["bits"]), r["rows"]) for r in x.collect())
     assert key(B.merge(early, late)) == key(whole)
-    assert [r["bits"] for r in B.merge(whole, whole).orderBy(*DIMS, "word").collect()] == [r["bits"] for r in whole.orderBy(*DIMS, "word").collect()]
-    small = B.partials(df, DIMS, "user_id", 1 << 10)
-    assert key(B.fold(whole, m, 1 << 10)) == key(small)
+    assert [k[:-1] for k in key(B.merge(whole, whole))] == [k[:-1] for k in key(whole)]
+    small = B.partials(df, DIMS, CELLS, "user_id", [1 << 10, 1 << 10])
+    assert key(B.fold(whole, sizes, [1 << 10, 1 << 10])) == key(small)
     with pytest.raises(ValueError):
-        B.fold(whole, m, 1 << 13)
+        B.fold(whole, sizes, [1 << 13, 1 << 10])
+    per_day = B.partials(df, DIMS, [["day"]], "user_id", [1 << 11])
+    assert key(B.roll_up(whole.filter("kind = 1").withColumn("kind", F.lit(0)), ["city"])) == key(per_day)
+
+
+def test_a_cell_takes_at_most_its_bitmap(spark):
+    df = visits(spark, [("d", "x", f"u{i}") for i in range(60_000)] + [("e", "y", "u1")])
+    out, blocks, sizes = B.distinct_cells(df, DIMS, CELLS, "user_id", 0.01)
+    held = {(r["kind"], r["day"]): r["n"] for r in blocks.groupBy("kind", "day").agg(F.sum(F.size("bits") * 8).alias("n")).collect()}
+    assert held[0, "d"] <= sizes[0] // 8 < 60_000 * 8 // 20 and held[0, "e"] == 128
+    r = out.filter("day = 'd' and city = 'ALL'").first()
+    assert abs(r["estimate"] - 60_000) < 4 * r["std_error"] and r["std_error"] <= 0.01 * 60_000
 
 
 def test_a_full_bitmap_has_no_estimate(spark):
-    df = visits(spark, [("d", "x", f"u{i}") for i in range(3_000)])
-    r = B.estimates(B.partials(df, DIMS, "user_id", 64), DIMS, 64).first()
-    assert r["estimate"] is None and r["bound_95"] is None and r["rows"] == 3_000
+    df = visits(spark, [("d", "x", f"u{i}") for i in range(60_000)])
+    r = B.estimates(B.partials(df, DIMS, [DIMS], "user_id", [1 << 10]), DIMS, [1 << 10]).first()
+    assert r["estimate"] is None and r["bound_95"] is None and r["rows"] == 60_000
+    assert B.below_share(spark.createDataFrame([(100, None, None)], "rows long, estimate double, std_error double"), 0.25).first()["below"] is None
+
+
+def test_what_cannot_be_met_is_raised():
+    with pytest.raises(ValueError, match="bits"):
+        B.bits_for(10**14, 0.000_01)
+
+
+def test_only_cells_near_the_line_are_recounted(spark):
+    cells = spark.createDataFrame([(1000, 100.0, 2.0), (1000, 249.0, 2.0), (1000, 400.0, 2.0)], "rows long, estimate double, std_error double")
+    assert [r["below"] for r in B.below_share(cells, 0.25).orderBy("estimate").collect()] == [True, None, False]
+    df = visits(spark, [("d", "x", f"u{i % 7}") for i in range(50)] + [("d", None, "u9"), ("d", "x", None)])
+    wanted = spark.createDataFrame([(0, "d", "ALL"), (1, "d", None)], "kind int, day string, city string")
+    assert sorted((r["kind"], r["ids"]) for r in B.exact_cells(df, DIMS, CELLS, "user_id", wanted).collect()) == [(0, 8), (1, 1)]
 
 
 def test_nulls_and_empty(spark):
@@ -63,4 +88,4 @@ def test_nulls_and_empty(spark):
     got = {(r["day"], r["city"]): (r["rows"], round(r["estimate"])) for r in B.distinct_cells(df, DIMS, CELLS, "user_id", 0.01)[0].collect()}
     assert got == {("d", None): (1, 1), (None, "x"): (1, 1), ("d", "x"): (2, 1), ("d", "ALL"): (3, 1), (None, "ALL"): (1, 1)}
     assert B.distinct_cells(df.limit(0), DIMS, CELLS, "user_id", 0.01)[0].count() == 0
-    assert B.partials(df.withColumn("bits_", F.lit(1)), DIMS, "user_id", 64).columns == ["day", "city", "word", "bits", "rows"]
+    assert B.partials(df.withColumn("bits_", F.lit(1)), DIMS, CELLS, "user_id", [1 << 10] * 2).columns == ["kind", "day", "city", "block", "bits", "rows"]
