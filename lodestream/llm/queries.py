@@ -135,34 +135,40 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- 4: seen before --------------------------------------------------------------------------------------------------
 
-#: Chance that a new key is taken for an old one.
-SEEN_ERROR = 1e-3
+#: Chances that a new key is taken for an old one: of p4_found's filter, and of the small one whose errors are measured.
+SEEN_ERROR, SMALL_ERROR = 1e-8, 1e-3
 
 
 @R.query(f"""
 with s as (select seq, {_USER} as u from stream_users)
 select seq from (select seq, row_number() over (partition by u order by seq) as k from s where u is not null) where k > 1""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose user came before: those the quotient filter has seen, less its wrong answers."""
+    """Rows whose user came before, as the quotient filter answers; a new user is wrongly among them with a chance of
+    at most ``SEEN_ERROR``."""
     t = table(spark, d, "stream_users").select("seq", clean_id("user_id").alias("user_id"))
-    seen, rows, _, _ = quotient.seen_before(t, "seq", "user_id", SEEN_ERROR)
-    return seen.join(quotient.wrong_answers(rows), "seq", "left_anti")
+    return quotient.seen_before(t, "seq", "user_id", SEEN_ERROR)[0]
 
 
 @R.query()
 def p4_error_report(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprint bits, derived and measured rate of wrong answers, and bits per key of the merged filters.
+    """Fingerprint bits, derived and measured rate of wrong answers, and bits per key of the merged filters, one row for
+    each of two error rates asked for.
 
-    The filter is built for the halves of the stream and merged, as it would be for successive days.
+    The filters are built for the halves of the stream and merged, as they would be for successive days. The wrong
+    answers are measured against the keys themselves.
     """
     t = table(spark, d, "stream_users").select("seq", clean_id("user_id").alias("user_id"))
-    _, rows, p, n = quotient.seen_before(t, "seq", "user_id", SEEN_ERROR)
-    new = rows.select("fp", "check").distinct().agg(F.count("*").alias("keys"))
-    wrong = quotient.wrong_answers(rows).agg(F.count("*").alias("wrong"))
+    return _errors(t, SMALL_ERROR).unionByName(_errors(t, SEEN_ERROR))
+
+
+def _errors(t: DataFrame, asked: float) -> DataFrame:
+    seen, rows, p, n = quotient.seen_before(t, "seq", "user_id", asked)
+    keys = rows.select("fp", "check").distinct().agg(F.count("*").alias("keys"))
+    wrong = quotient.wrong_answers(rows, seen).agg(F.count("*").alias("wrong"))
     early, late = rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")
     both = quotient.merge_filters(quotient.filters(early, p, n), quotient.filters(late, p, n)).agg(F.sum("keys").alias("stored"), F.sum("bits").alias("bits"))
-    one = new.join(wrong).join(both)
-    return one.select(F.lit(p).alias("fingerprint_bits"), F.lit(n).alias("rows"), "keys", "stored", "wrong", (F.col("keys") / F.lit(2.0 ** (p + 1))).alias("derived_rate"), (F.col("wrong") / F.col("keys")).alias("measured_rate"), (F.col("bits") / F.col("stored")).alias("bits_per_key"))
+    one = keys.join(wrong).join(both)
+    return one.select(F.lit(asked).alias("asked_rate"), F.lit(p).alias("fingerprint_bits"), F.lit(n).alias("rows"), "keys", "stored", "wrong", (F.col("keys") / F.lit(2.0 ** (p + 1))).alias("derived_rate"), (F.col("wrong") / F.col("keys")).alias("measured_rate"), (F.col("bits") / F.col("stored")).alias("bits_per_key"))
 
 
 # ---- 6: items together -----------------------------------------------------------------------------------------------

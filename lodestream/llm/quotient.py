@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Keys per group of the grouped pass, each group with a filter of its own.
 GROUP_KEYS = 400_000
-#: Blocks the stream is cut into by order of arrival.
-BLOCKS = 12
+#: Rows of one block of the stream, by order of arrival; their number grows with the stream, their size does not.
+BLOCK_ROWS = 250_000
+#: Most bits of a fingerprint; its hash has 64, two of which stay free for signs and shifts.
+MOST_BITS = 62
 
 
 class QuotientFilter:
@@ -96,8 +98,14 @@ class QuotientFilter:
 
 
 def fingerprint_bits(n: int, error: float) -> int:
-    """Bits for which ``n`` keys give a chance of at most ``error`` that a new key looks old."""
-    return min(62, max(16, math.ceil(math.log2(max(n, 2) / error))))
+    """Bits for which ``n`` keys give a chance of at most ``error`` that a new key looks old.
+
+    Where ``MOST_BITS`` do not suffice, the error could not be met: that is raised.
+    """
+    p = max(16, math.ceil(math.log2(max(n, 2) / error)))
+    if p > MOST_BITS:
+        raise ValueError(f"{n} keys need fingerprints of {p} bits for an error of {error}; {MOST_BITS} is the most")
+    return p
 
 
 def fingerprint(key: str | Column, p: int) -> Column:
@@ -118,32 +126,58 @@ def _grouped(df: DataFrame, p: int, bits: int) -> DataFrame:
     return df.withColumn("g", (F.shiftright("fp", p - bits) if bits else F.lit(0)).cast("long"))
 
 
+class Cascade:
+    """Filters of successive blocks, merged like sorted runs: a new one is merged with the last while that is not much
+    larger, so n keys are merged O(log n) times each and a lookup asks O(log n) filters."""
+
+    def __init__(self, p: int) -> None:
+        self.p, self.parts = p, []
+
+    def contains(self, fingerprints: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(fingerprints), bool)
+        for f in self.parts:
+            found |= f.contains(fingerprints)
+        return found
+
+    def add(self, fingerprints: np.ndarray) -> None:
+        """``fingerprints``: sorted, different, none of them stored yet."""
+        if len(fingerprints):
+            self.parts.append(QuotientFilter(fingerprints, self.p))
+        while len(self.parts) > 1 and self.parts[-2].n <= 2 * self.parts[-1].n:
+            last = self.parts.pop()
+            self.parts[-1] = self.parts[-1].merge(last)
+
+
 def _first_per_group(p: int, bits: int):
-    """The pass over one group, whose filter holds the fingerprints without the group's leading bits."""
+    """The pass over one group, whose filters hold the fingerprints without the group's leading bits."""
     inner = p - bits
     mask = np.uint64((1 << inner) - 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A group's (block, fingerprint) entries in order of blocks; keeps those the filter has not seen."""
-        known, out = QuotientFilter(np.empty(0, np.uint64), inner), []
-        for _, block in pdf.sort_values(["block", "fp"]).groupby("block", sort=True):
-            fps = block["fp"].to_numpy().astype(np.uint64) & mask
-            new = ~known.contains(fps)
-            out.append(block.loc[new, ["fp", "seq"]])
-            known = known.merge(QuotientFilter(fps[new], inner))
-        return pd.concat(out) if out else pdf.loc[:, ["fp", "seq"]]
+        """A group's (block, fingerprint) entries in order of blocks; keeps those the filters have not seen."""
+        known, out = Cascade(inner), []
+        pdf = pdf.sort_values(["block", "fp"], kind="stable")
+        fps, block = pdf["fp"].to_numpy().astype(np.uint64) & mask, pdf["block"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, int)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            new = ~known.contains(fps[lo:hi])
+            out.append(lo + np.flatnonzero(new))
+            known.add(fps[lo:hi][new])
+        return pdf.iloc[np.concatenate(out)][["fp", "seq"]] if out else pdf[["fp", "seq"]]
 
     return run
 
 
-def first_occurrences(rows: DataFrame, p: int, n: int, low: int, high: int) -> DataFrame:
-    """fp and seq of the rows the filter takes for new. ``rows``: fp, seq (unique, between ``low`` and ``high``).
+def first_occurrences(rows: DataFrame, p: int, n: int, low: int, high: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """fp and seq of the rows the filters take for new. ``rows``: fp, seq (unique, between ``low`` and ``high``).
 
-    Of one block and fingerprint only the earliest row can be new, so blocks are reduced to one entry per fingerprint
-    on the map side; a key holding a third of all rows reaches the filter as at most one entry per block. Groups are
-    ranges of quotients: all entries of a fingerprint meet in one group, and the number of groups follows ``n``.
+    The stream is cut into blocks of about ``block_rows`` rows by seq. Of one block and fingerprint only the earliest
+    row can be new, so blocks are reduced to one entry per fingerprint on the map side; whether a fingerprint came in an
+    earlier block is the filters' answer. A key holding a third of all rows reaches them as one entry per block. Groups
+    are ranges of quotients: all entries of a fingerprint meet in one group, and the number of groups follows ``n``.
     """
-    width = max(1, math.ceil((high - low + 1) / BLOCKS))
+    blocks = max(1, math.ceil(n / block_rows))
+    width = max(1, math.ceil((high - low + 1) / blocks))
     entries = rows.groupBy(F.expr(f"cast((seq - {low}) div {width} as int)").alias("block"), "fp").agg(F.min("seq").alias("seq"))
     bits = group_bits(n)
     return _grouped(entries, p, bits).groupBy("g").applyInPandas(_first_per_group(p, bits), "fp long, seq long")
@@ -191,12 +225,9 @@ def seen_before(df: DataFrame, seq: str, key: str, error: float) -> tuple[DataFr
     return seen, rows, p, n
 
 
-def wrong_answers(rows: DataFrame) -> DataFrame:
-    """seq of the rows wrongly taken for seen: first of their key, after another key of the same fingerprint.
+def wrong_answers(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """seq of the rows wrongly among ``seen``: the first of their key (fingerprint and check hash together).
 
-    Only fingerprints shared by several keys are looked at again; they are about ``error`` times the keys.
+    This remembers every key and is for measuring the error, not part of the answer.
     """
-    shared = rows.groupBy("fp").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b").select("fp")
-    first = rows.join(shared, "fp", "left_semi").groupBy("fp", "check").agg(F.min("seq").alias("seq"))
-    earliest = first.groupBy("fp").agg(F.min("seq").alias("seq"))
-    return first.select("seq").join(earliest.select("seq"), "seq", "left_anti")
+    return rows.groupBy("fp", "check").agg(F.min("seq").alias("seq")).select("seq").join(seen, "seq", "left_semi")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,14 +51,14 @@ def test_seen_before(spark, monkeypatch):
         seen, rows, p, n = Q.seen_before(stream(spark, us), "seq", "user_id", 1e-9)
         assert n == sum(u is not None for u in us) and p >= 40
         assert sorted(r["seq"] for r in seen.collect()) == truth(us)
-        assert Q.wrong_answers(rows).count() == 0
+        assert Q.wrong_answers(rows, seen).count() == 0
 
 
 def test_wrong_answers_are_found_and_their_rate_is_as_derived(spark):
     us = users(4_000, 3_000)
     seen, rows, p, n = Q.seen_before(stream(spark, us), "seq", "user_id", 0.25)
     said, right = {r["seq"] for r in seen.collect()}, set(truth(us))
-    wrong = {r["seq"] for r in Q.wrong_answers(rows).collect()}
+    wrong = {r["seq"] for r in Q.wrong_answers(rows, seen).collect()}
     assert said >= right and said - right == wrong and wrong
     keys = len({u for u in us if u})
     assert abs(len(wrong) / keys - keys / 2 ** (p + 1)) < 0.03
@@ -74,5 +75,31 @@ def test_filters_merge(spark):
 
 def test_empty(spark):
     seen, rows, _, n = Q.seen_before(stream(spark, ["a"]).limit(0), "seq", "user_id", 1e-3)
-    assert n == 0 and seen.count() == 0 and Q.wrong_answers(rows).count() == 0
+    assert n == 0 and seen.count() == 0 and Q.wrong_answers(rows, seen).count() == 0
     assert Q.seen_before(stream(spark, [None, None]), "seq", "user_id", 1e-3)[0].count() == 0
+
+
+def test_many_blocks_give_the_same_answers(spark):
+    us = users()
+    rows = stream(spark, us).filter("user_id is not null").select("seq", Q.fingerprint("user_id", 50).alias("fp"))
+    n, want = rows.count(), {u: k for k, u in reversed(list(enumerate(us, 1))) if u}
+    for block_rows in (7, 100, 10_000):
+        first = Q.first_occurrences(rows, 50, n, 1, len(us), block_rows)
+        assert sorted(r["seq"] for r in first.collect()) == sorted(want.values())
+
+
+def test_cascade_keeps_few_filters():
+    rnd = np.random.default_rng(1)
+    keys = rnd.permutation(np.arange(1, 20_001, dtype=np.uint64) * np.uint64(977))
+    c = Q.Cascade(40)
+    for lo in range(0, len(keys), 50):
+        part = np.sort(keys[lo : lo + 50])
+        assert not c.contains(part).any()
+        c.add(part)
+        assert c.contains(part).all() and len(c.parts) <= 16
+    assert sum(f.n for f in c.parts) == 20_000
+
+
+def test_an_error_that_cannot_be_met_is_raised():
+    with pytest.raises(ValueError, match="bits"):
+        Q.fingerprint_bits(10**12, 1e-9)
