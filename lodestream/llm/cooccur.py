@@ -59,8 +59,11 @@ def degree_table(baskets: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["m"] for r in rows], float), np.array([r["c"] for r in rows], float)
 
 
-def fit_null(sizes: tuple[np.ndarray, np.ndarray], frequencies: tuple[np.ndarray, np.ndarray], rounds: int = 500, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """Fitnesses x per size class and y per frequency class whose expected degrees are the given ones."""
+def fit_null(sizes: tuple[np.ndarray, np.ndarray], frequencies: tuple[np.ndarray, np.ndarray], rounds: int = 2_000, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """Fitnesses x per size class and y per frequency class whose expected degrees are the given ones.
+
+    A fit that has not settled to ``tolerance`` (relative change) after ``rounds`` rounds is raised, never returned.
+    """
     (k, ck), (f, cf) = sizes, frequencies
     edges = max(float((k * ck).sum()), 1.0)
     x, y = k / math.sqrt(edges), f / math.sqrt(edges)
@@ -70,8 +73,8 @@ def fit_null(sizes: tuple[np.ndarray, np.ndarray], frequencies: tuple[np.ndarray
         change = max(np.abs(nx / x - 1).max(initial=0), np.abs(ny / y - 1).max(initial=0))
         x, y = nx, ny
         if change < tolerance:
-            break
-    return x, y
+            return x, y
+    raise RuntimeError(f"the null model did not settle in {rounds} rounds: fitnesses still change by {change:.2g}")
 
 
 def _mills(w: np.ndarray) -> np.ndarray:
@@ -120,6 +123,15 @@ def log10_tail(p: np.ndarray, count: np.ndarray, at_least: np.ndarray) -> np.nda
     return out
 
 
+def scored_pairs(baskets: DataFrame, least: int, lift: float) -> tuple[DataFrame, int]:
+    """(pairs with at least ``least`` common baskets and that lift, with expected and surprise under the null fitted to
+    all of ``baskets``, written; the number of different items, of which all pairs are tested)."""
+    pairs, _, _ = common_baskets(baskets, least, lift)
+    sizes, frequencies = degree_table(baskets, "s"), degree_table(baskets, "i")
+    x, y = fit_null(sizes, frequencies)
+    return written(surprise(written(pairs), sizes, frequencies, x, y)), int(frequencies[1].sum())
+
+
 def surprise(pairs: DataFrame, sizes: tuple[np.ndarray, np.ndarray], frequencies: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> DataFrame:
     """Adds expected (common baskets under the null) and surprise (-log10 of the tail)."""
     _, ck = sizes

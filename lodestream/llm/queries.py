@@ -179,25 +179,25 @@ LEAST_TOGETHER, LEAST_LIFT = 10, 5.0
 @R.query(_PAIRS_SQL + f"""select b1 as business_id_1, b2 as business_id_2 from o join n p on p.b = b1 join n q on q.b = b2
 where c >= {LEAST_TOGETHER} and c * (select count(distinct u) from t) >= {LEAST_LIFT} * p.n * q.n""")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of businesses with at least ten common users and at least five times as many as by chance."""
+    """Pairs of businesses with at least ten common users and at least five times as many as by chance.
+
+    Counts and lift decide which pairs these are, as the case is defined by them; they are rows of the scored output,
+    each with its surprise.
+    """
+    return _together(spark, d, LEAST_TOGETHER, LEAST_LIFT).filter(f"common >= {LEAST_TOGETHER} and lift >= {LEAST_LIFT} and surprise is not null").select("business_id_1", "business_id_2")
+
+
+def _together(spark: SparkSession, d: str, least: int, lift: float) -> DataFrame:
     t = _train(spark, d)
-    baskets = written(incidence.pairs(t, "user_id", "business_id"))
-    pairs, _, _ = cooccur.common_baskets(baskets, LEAST_TOGETHER, LEAST_LIFT)
-    return incidence.with_names(pairs.select("a", "b"), incidence.names(t.filter("user_id is not null"), "business_id"), "a", "b", "business_id_1", "business_id_2")
+    scored, items = cooccur.scored_pairs(written(incidence.pairs(t, "user_id", "business_id")), least, lift)
+    out = cooccur.discoveries(scored, math.comb(items, 2)).select("a", "b", "common", "lift", "expected", "surprise", "significant")
+    return incidence.with_names(out, incidence.names(t.filter("user_id is not null"), "business_id"), "a", "b", "business_id_1", "business_id_2")
 
 
 @R.query()
 def p6_surprise(spark: SparkSession, d: str) -> DataFrame:
     """All pairs with a common user: common users, lift, expected ones under the fitted null, surprise and significance."""
-    t = _train(spark, d)
-    baskets = written(incidence.pairs(t, "user_id", "business_id"))
-    pairs, _, items = cooccur.common_baskets(baskets, 1, 0.0)
-    sizes, frequencies = cooccur.degree_table(baskets, "s"), cooccur.degree_table(baskets, "i")
-    x, y = cooccur.fit_null(sizes, frequencies)
-    scored = written(cooccur.surprise(written(pairs), sizes, frequencies, x, y))
-    k = items.count()
-    out = cooccur.discoveries(scored, math.comb(k, 2))
-    return incidence.with_names(out.select("a", "b", "common", "lift", "expected", "surprise", "significant"), incidence.names(t.filter("user_id is not null"), "business_id"), "a", "b", "business_id_1", "business_id_2")
+    return _together(spark, d, 1, 0.0)
 
 
 # ---- 8: packing ------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from lodestream.llm import cooccur as C
 from lodestream.llm import incidence
@@ -52,6 +53,33 @@ def test_null_reproduces_the_degrees():
     assert np.allclose((p * freq[1]).sum(axis=1), sizes[0], rtol=1e-6) and np.allclose((p * sizes[1][:, None]).sum(axis=0), freq[0], rtol=1e-6)
 
 
+def test_a_fit_that_has_not_settled_is_raised():
+    sizes, freq = (np.array([1.0, 2.0, 5.0]), np.array([50.0, 40.0, 10.0])), (np.array([2.25, 6.0, 22.5]), np.array([20.0, 10.0, 10 / 3]))
+    with pytest.raises(RuntimeError, match="settle"):
+        C.fit_null(sizes, freq, rounds=2)
+
+
+def test_degree_classes_change_expectations_and_tails_little():
+    """Degrees above 1,000 are fitted in classes of 1 %; pairs are scored with their own degrees all the same."""
+    rng = np.random.default_rng(5)
+    f = np.sort(rng.integers(1_001, 30_000, 300)).astype(float)
+    sizes = (np.array([2.0, 5.0, 40.0]), np.array([f.sum() * 0.2 / 2, f.sum() * 0.3 / 5, f.sum() * 0.5 / 40]))
+    kind = np.round(np.log(f) / math.log(1.01))
+    classes, inverse = np.unique(kind, return_inverse=True)
+    count = np.bincount(inverse).astype(float)
+    x, y = C.fit_null(sizes, (f, np.ones(len(f))))
+    cx, cy = C.fit_null(sizes, (np.bincount(inverse, weights=f) / count, count))
+    near = np.exp(np.interp(np.log(f), np.log(np.bincount(inverse, weights=f) / count), np.log(cy)))
+    a, b = rng.integers(0, len(f), (2, 200))
+    chance = lambda x, v: np.outer(v[a], x) / (1 + np.outer(v[a], x)) * np.outer(v[b], x) / (1 + np.outer(v[b], x))
+    exact, coarse = chance(x, y), chance(cx, near)
+    want, got = (exact * sizes[1]).sum(axis=1), (coarse * sizes[1]).sum(axis=1)
+    assert np.abs(got / want - 1).max() < 0.002
+    at = np.ceil(want * 1.5 + 20).astype(np.int64)
+    tails = C.log10_tail(exact, sizes[1], at), C.log10_tail(coarse, sizes[1], at)
+    assert np.abs(tails[1] / tails[0] - 1).max() < 0.02
+
+
 def exact_tail(p, count, k):
     d = np.array([1.0])
     for q, c in zip(p, count, strict=True):
