@@ -29,6 +29,10 @@ GROUP_PIECES = 20_000
 CLASSES, ROOMY = 32, 5
 
 
+def _kinds(packs: DataFrame) -> DataFrame:
+    return broadcast_if_small(packs.filter(F.col("capacity_tokens") > 0).select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct())
+
+
 def pieces(texts: DataFrame, packs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """pack_name, capacity, doc_id, piece, start, length. ``texts``: doc_id, tokens; ``packs``: pack_name, capacity_tokens.
 
@@ -36,7 +40,7 @@ def pieces(texts: DataFrame, packs: DataFrame, tokens: str = "tokens") -> DataFr
     no tokens (null, empty) have no piece; packs without a positive capacity take none. ``packs`` is a list of container
     kinds (a handful), so joining it to every text is a projection.
     """
-    kinds = broadcast_if_small(packs.filter(F.col("capacity_tokens") > 0).select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct())
+    kinds = _kinds(packs)
     last = F.ceil(F.col(tokens) / F.col("capacity")) - 1
     each = texts.filter(F.col(tokens) > 0).select("doc_id", tokens).join(kinds)
     cut = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
@@ -100,11 +104,25 @@ def pack_group(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
 PACKED = "pack_name string, container_id long, position int, doc_id long, piece int, start long, length long"
 
 
-def pack(cut: DataFrame, groups: int) -> DataFrame:
-    """Container and position of every piece. ``groups`` should be about the number of pieces / ``GROUP_PIECES``.
+def group_counts(texts: DataFrame, packs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """pack_name, groups: for each container kind, its pieces over ``GROUP_PIECES``. ``texts`` is read once more."""
+    per = pieces_per_pack(texts, packs, tokens)
+    return per.select("pack_name", F.greatest(F.ceil(F.col("pieces") / GROUP_PIECES), F.lit(1)).cast("int").alias("groups"))
+
+
+def pieces_per_pack(texts: DataFrame, packs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """pack_name, pieces: how many pieces the texts give, without cutting them."""
+    kinds = _kinds(packs)
+    return texts.filter(F.col(tokens) > 0).join(kinds).groupBy("pack_name").agg(F.sum(F.ceil(F.col(tokens) / F.col("capacity"))).alias("pieces"))
 
-    A container id is unique within its pack: group number * 2^32 + number within the group. Pieces of equal length are
-    ordered by (doc_id, piece), so the result depends on the data and ``groups`` alone.
+
+def pack(cut: DataFrame, groups: int | DataFrame) -> DataFrame:
+    """Container and position of every piece.
+
+    ``groups``: into how many groups a pack's pieces are dealt, one number or a table by pack_name (``group_counts``);
+    it should be about the number of pieces / ``GROUP_PIECES``, so that a group fits one task. A container id is unique
+    within its pack: group number * 2^32 + number within the group. Pieces of equal length are ordered by (doc_id,
+    piece), so the result depends on the data and ``groups`` alone.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,12 +130,11 @@ def pack(cut: DataFrame, groups: int) -> DataFrame:
         box, pos = pack_group(pdf["length"].to_numpy(), int(pdf["capacity"].iloc[0]))
         return pd.DataFrame({"pack_name": pdf["pack_name"], "container_id": (pdf["g"].to_numpy().astype(np.int64) << 32) + box, "position": pos.astype(np.int32), "doc_id": pdf["doc_id"], "piece": pdf["piece"].astype(np.int32), "start": pdf["start"], "length": pdf["length"]})
 
-    spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, groups))).cast("int")
-    return cut.withColumn("g", spread).groupBy("pack_name", "capacity", "g").applyInPandas(run, PACKED)
-
-
-def group_count(texts: int) -> int:
-    return max(1, math.ceil(texts / GROUP_PIECES))
+    if isinstance(groups, DataFrame):
+        cut, ways = cut.join(broadcast_if_small(groups), "pack_name"), F.col("groups")
+    else:
+        ways = F.lit(max(1, groups))
+    return cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), ways).cast("int")).groupBy("pack_name", "capacity", "g").applyInPandas(run, PACKED)
 
 
 def fill_report(packed: DataFrame, packs: DataFrame) -> DataFrame:

@@ -210,9 +210,8 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Container and position of every text or piece of a text, for each container size."""
-    packs = table(spark, d, "pack_sizes")
-    groups = packing.group_count(table(spark, d, "documents").count())
-    return packing.pack(packing.pieces(_tokens(spark, d), packs), groups)
+    packs, tokens = table(spark, d, "pack_sizes"), written(_tokens(spark, d))
+    return packing.pack(packing.pieces(tokens, packs), packing.group_counts(tokens, packs))
 
 
 @R.query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,8 +27,19 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _found(path: str) -> str:
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def token_count(text: str | Column, path: str = VOCABULARY) -> Column:
-    """Number of tokens of the whole text; 0 for null and empty texts."""
+    """Number of tokens of the whole text; 0 for null and empty texts.
+
+    Marked as not deterministic, though it is, so that a filter on the count does not make Spark count twice. The rank
+    file is read where the tasks run: at ``path`` on every worker, or by its name alone if it was shipped with the job
+    (``SparkContext.addFile``).
+    """
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -35,4 +47,4 @@ def token_count(text: str | Column, path: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
-    return count(text)
+    return count.asNondeterministic()(text)

@@ -86,6 +86,24 @@ def test_every_text_is_placed_whole(spark):
     assert packed(spark, [])[0].count() == 0
 
 
+def test_groups_follow_the_pieces_of_each_pack(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 3)
+    texts = spark.createDataFrame([(1, 10), (2, 25), (3, 0), (4, None)], "doc_id long, tokens long")
+    kinds = spark.createDataFrame([("p", 10), ("q", 2), ("none", 0)], "pack_name string, capacity_tokens int")
+    assert {r["pack_name"]: r["groups"] for r in packing.group_counts(texts, kinds).collect()} == {"p": 2, "q": 6}
+    out = packing.pack(packing.pieces(texts, kinds), packing.group_counts(texts, kinds)).collect()
+    assert sum(r["length"] for r in out if r["pack_name"] == "q") == 35 and len({r["container_id"] >> 32 for r in out if r["pack_name"] == "q"}) > 2
+
+
+def test_tokens_are_counted_once(spark):
+    from lodestream.llm import queries as Q
+
+    docs = spark.createDataFrame([(1, "a", "x y"), (2, "a", None)], "doc_id long, source string, text string").select("doc_id", "source", token_count("text").alias("tokens"), F.md5("text").alias("digest"))
+    wanted = spark.createDataFrame([("a",)], "source string")
+    plan = mixing.texts(docs, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and Q.VOCABULARY == VOCABULARY
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 
