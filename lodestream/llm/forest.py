@@ -1,13 +1,15 @@
 """All pairs of sets with Jaccard similarity at or above a threshold: sorted MinHash sketch forests.
 
-Each set gets ``trees`` independent signatures of ``depth`` MinHash values. Sorting a tree's signatures
-lexicographically brings sets with a common prefix together; sets sharing the whole prefix in some tree are
-neighbours. ``plan`` deepens the prefix as far as the recall asked for allows at the threshold, so unlike sets meet
-as rarely as possible. Neighbours are counted over the trees, and pairs that meet too seldom for the threshold are
-dropped at a risk that is part of the recall; the exact similarity of the rest decides.
-
-Work is bounded by the pairs that share prefixes. Sets with the same items are one class throughout, so a group of
-copies costs one sketch; its pairs appear only in the result.
+Each set gets ``trees`` independent signatures of MinHash values. Every tree's signatures are range-sorted, so sets with
+a common prefix lie side by side, and each run of equal prefixes is compared within. ``plan`` starts with the deepest
+prefix whose recall at the threshold is the one asked for. A prefix shared by more than ``crowd`` sets (say, of one very
+busy item) is deepened, value by value, until its runs are short; no run is ever longer, so the work is at most
+``crowd`` neighbours a row. Deepening costs recall, which is accounted for: a set deepened in more trees than the recall
+allows, or still crowded at the deepest prefix, is looked up exactly through its rarest items instead.
+
+Meetings are counted over the trees, and pairs that meet too seldom for the threshold are dropped at a risk that is part
+of the recall; the exact similarity of the rest decides. Sets with the same items are one class throughout, so a group
+of copies costs one sketch; its pairs appear only in the result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.prefix import prefix_sums
+from lodestream.operators.skew import broadcast_if_small
 from lodestream.scratch import written
 
 #: Multipliers and offsets of the hash family come from this seed.
 SEED = 20_160_104
+#: Sets that may share a prefix before it is deepened, and the most values of a deepened prefix.
+CROWD, DEEPEST = 256, 8
 
 
 def miss(similarity: float, trees: int, depth: int, meetings: int) -> float:
@@ -120,14 +126,118 @@ def sketches(members: DataFrame, k: int, least: int) -> DataFrame:
     return parts.filter("whole").select("s", "n", "x", "y", "sig").unionByName(united)
 
 
-def candidates(sets: DataFrame, trees: int, depth: int, meetings: int, similarity: float) -> DataFrame:
-    """Pairs (a < b) of classes that share the prefix in at least ``meetings`` trees and whose sizes allow the similarity."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    keyed = sets.select("s", "n", "sig", tree.alias("t")).select("s", F.col("n").cast("int").alias("n"), F.xxhash64("t", F.slice("sig", F.col("t") * depth + 1, depth)).alias("key"))
-    a, b = keyed.select("key", F.col("s").alias("a"), F.col("n").alias("na")), keyed.select("key", F.col("s").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
-    met = a.join(b.hint("merge"), "key").filter(near).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return met.filter(F.col("met") >= meetings).drop("met")
+def spare_trees(similarity: float, trees: int, depth: int, meetings: int, recall: float) -> int:
+    """In how many trees a set may be deepened while the others alone keep the recall at ``similarity``."""
+    spare = 0
+    while spare + 1 < trees and miss(similarity, trees - spare - 1, depth, meetings) <= 1 - recall:
+        spare += 1
+    return spare
+
+
+def _prefix(depth: int, values: int) -> list:
+    """(k1, k2) of the first ``depth`` values of tree t: the first two side by side, which sorts as they do, then the
+    hash of the rest. A tree's values beyond its own are those of the trees after it."""
+    at = lambda j: F.element_at("sig", (F.col("t") * F.col("_own") + j) % values + 1).cast("long")
+    rest = F.xxhash64(*[at(j) for j in range(2, depth)]) if depth > 2 else F.lit(0).cast("long")
+    return [(F.shiftleft(at(0), 31) + (at(1) if depth > 1 else F.lit(0))).alias("k1"), rest.alias("k2")]
+
+
+def leaves(sets: DataFrame, trees: int, depth: int, similarity: float, crowd: int = CROWD, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame | None]:
+    """(leaves s, n, t, k1, k2, weight; sets deepened s, trees, stuck, or None where no prefix is crowded).
+
+    A leaf is the shortest prefix, from ``depth`` values on, that at most ``crowd`` sets share; it weighs as much more
+    than one of ``depth`` as it is less likely at the threshold. Sets still crowded at ``deepest`` have no leaf there.
+    """
+    kept = ["s", "n", "t", "sig", "_own"]
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")
+    rows = sets.select("s", F.col("n").cast("int").alias("n"), "sig", F.lit(depth).alias("_own"), tree)
+    found, deepened = None, None
+    for d in range(depth, max(depth, deepest) + 1):
+        keyed = rows.select(*kept, *_prefix(d, trees * depth))
+        busy = written(keyed.groupBy("t", "k1", "k2").agg(F.count("*").alias("_c")).filter(F.col("_c") > crowd).select("t", "k1", "k2"))
+        ended = keyed if busy.isEmpty() else keyed.join(broadcast_if_small(busy), ["t", "k1", "k2"], "left_anti")
+        ended = ended.select("s", "n", "t", "k1", "k2", F.lit(round(similarity ** (depth - d))).alias("weight"))
+        found = ended if found is None else found.unionByName(ended)
+        if busy.isEmpty():
+            rows = None
+            break
+        rows = written(keyed.join(broadcast_if_small(busy), ["t", "k1", "k2"], "left_semi").select(*kept))
+        deepened = rows.select("s", "t") if deepened is None else deepened
+    if deepened is None:
+        return found, None
+    per = deepened.groupBy("s").agg(F.count("*").alias("trees")).withColumn("stuck", F.lit(False))
+    if rows is not None:
+        stuck = rows.select("s").distinct().withColumn("_stuck", F.lit(True))
+        per = per.join(stuck, "s", "left").select("s", "trees", F.coalesce("_stuck", F.lit(False)).alias("stuck"))
+    return found, per
+
+
+def _compared(similarity: float):
+    def pairs(t: pd.DataFrame) -> pd.DataFrame:
+        """All pairs within the runs of equal prefixes whose sizes allow the similarity."""
+        key = t[["t", "k1", "k2"]].to_numpy(np.int64)
+        run = np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        s, n, w = t["s"].to_numpy(), t["n"].to_numpy(), t["weight"].to_numpy()
+        left, lag, out = np.arange(len(t)), 1, []
+        while len(left):
+            left = left[left + lag < len(t)]
+            left = left[run[left] == run[left + lag]]
+            i, j = left, left + lag
+            close = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+            out.append((i[close], j[close]))
+            lag += 1
+        i, j = (np.concatenate([p[k] for p in out]) if out else np.empty(0, np.int64) for k in (0, 1))
+        first = s[i] < s[j]
+        a, b = np.where(first, i, j), np.where(first, j, i)
+        return pd.DataFrame({"a": s[a], "b": s[b], "na": n[a], "nb": n[b], "weight": w[i]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = pdf.iloc[-1]
+            same = ((pdf["k1"] == last["k1"]) & (pdf["k2"] == last["k2"]) & (pdf["t"] == last["t"])).to_numpy()
+            rest = pdf[same]  # the last run may go on in the next batch; it has at most ``crowd`` rows
+            yield pairs(pdf[~same])
+        if rest is not None:
+            yield pairs(rest)
+
+    return run
+
+
+def neighbours(found: DataFrame, similarity: float) -> DataFrame:
+    """a, b, na, nb, weight for every two leaves side by side: the range-sorted forest, compared run by run."""
+    ordered = found.repartitionByRange("t", "k1", "k2").sortWithinPartitions("t", "k1", "k2")
+    return ordered.mapInPandas(_compared(similarity), "a long, b long, na int, nb int, weight int")
+
+
+def looked_up(hard: DataFrame, sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """a, b, na, nb: every set that can be similar to one of ``hard`` (s), exactly, through the rarest items of it.
+
+    Of n items of a set, some of the n - ceil(similarity * n) + 1 rarest must be in any set that is similar enough.
+    """
+    sized = sets.select("s", F.col("n").cast("int").alias("n"))
+    mine = members.select("s", "i").join(hard.select("s"), "s", "left_semi").join(sized, "s")
+    often = members.groupBy("i").agg(F.count("*").alias("_f")).join(mine.select("i").distinct(), "i", "left_semi")
+    ranked = prefix_sums(mine.join(often, "i").withColumn("_one", F.lit(1).cast("long")), ["s"], ["_f", "i"], "_one", "_rank")
+    rare = ranked.filter(F.col("_rank") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n")) + 1).select(F.col("s").alias("x"), F.col("n").alias("nx"), "i")
+    other = members.select("i", F.col("s").alias("y")).join(sized.select(F.col("s").alias("y"), F.col("n").alias("ny")), "y")
+    met = rare.join(other, "i").filter(F.col("x") != F.col("y")).filter(F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny"))
+    first = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+
+
+def candidates(sets: DataFrame, members: DataFrame, trees: int, depth: int, meetings: int, similarity: float, recall: float, crowd: int = CROWD, deepest: int = DEEPEST) -> DataFrame:
+    """Pairs (a < b) of sets that meet often enough in the forest and whose sizes allow the similarity: a, b, na, nb."""
+    found, deepened = leaves(sets, trees, depth, similarity, crowd, deepest)
+    met = neighbours(found, similarity).groupBy("a", "b").agg(F.sum("weight").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    out = met.filter(F.col("met") >= meetings).drop("met")
+    if deepened is None:
+        return out
+    hard = written(deepened.filter(F.col("stuck") | (F.col("trees") > spare_trees(similarity, trees, depth, meetings, recall))).select("s"))
+    return out if hard.isEmpty() else out.unionByName(looked_up(hard, sets, members, similarity)).distinct()
 
 
 def verify(found: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
@@ -145,13 +255,15 @@ def verify(found: DataFrame, members: DataFrame, similarity: float) -> DataFrame
     return common.withColumn("jaccard", F.col("common") / union).filter(F.col("common") >= F.lit(similarity) * union).select(F.col("p").alias("a"), F.col("q").alias("b"), F.col("np").alias("na"), F.col("nq").alias("nb"), "common", "jaccard")
 
 
-def similar_pairs(members: DataFrame, similarity: float, least: int = 1, trees: int = 60, recall: float = 0.999_99) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(members: DataFrame, similarity: float, least: int = 1, trees: int = 60, recall: float = 0.999_9, crowd: int = CROWD, deepest: int = DEEPEST) -> tuple[DataFrame, DataFrame]:
     """(links, copies): verified pairs of classes, and membership class -> set for all sets of ``least`` items.
 
+    The plan is made for a miss ten times smaller than ``1 - recall``, so that some trees may be deepened.
+
     ``links``: a, b, na, nb, common, jaccard between representatives of classes of equal sets (smallest hash);
     ``copies``: c (representative), s, n. Empty sets have no row in ``members`` and no pair.
     """
-    depth, meetings = plan(similarity, recall, trees)
+    depth, meetings = plan(similarity, 1 - (1 - recall) / 10, trees)
     sets = sketches(members, trees * depth, least)
     sets = written(sets)
     lead = sets.groupBy("n", "x", "y").agg(F.min("s").alias("c"), F.count("*").alias("copies"))
@@ -159,7 +271,7 @@ def similar_pairs(members: DataFrame, similarity: float, least: int = 1, trees:
     copies = sets.select("s", "n", "x", "y").join(several.drop("copies"), ["n", "x", "y"], "left").select(F.coalesce("c", "s").alias("c"), "s", "n")
     copies = written(copies)
     heads = sets.join(copies.filter("c != s").select("s"), "s", "left_anti")
-    pairs = written(candidates(heads, trees, depth, meetings, similarity))
+    pairs = written(candidates(heads, members, trees, depth, meetings, similarity, recall, crowd, deepest))
     return verify(pairs, members, similarity), copies
 
 

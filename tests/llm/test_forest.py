@@ -15,10 +15,10 @@ def table(spark, sets):
     return spark.createDataFrame([(name, x) for name, s in sets.items() for x in s] + [(None, "q"), ("s0", None)], "b string, u string")
 
 
-def found(spark, sets, similarity=0.5, least=5, hot=incidence.HOT_ROWS):
+def found(spark, sets, similarity=0.5, least=5, hot=incidence.HOT_ROWS, **how):
     df = table(spark, sets)
     members = written(incidence.pairs(df, "b", "u", hot))
-    links, copies = T.similar_pairs(members, similarity, least)
+    links, copies = T.similar_pairs(members, similarity, least, **how)
     pairs = incidence.with_names(T.expand(links, copies), incidence.names(df, "b"), "s1", "s2", "x", "y")
     return sorted(tuple(r) for r in pairs.collect())
 
@@ -61,6 +61,37 @@ def test_against_brute_force(spark, hot):
     assert found(spark, sets, hot=hot) == want
 
 
+@pytest.mark.parametrize(("crowd", "deepest"), [(2, 8), (2, 2), (6, 3)])
+def test_crowded_prefixes_lose_nothing(spark, crowd, deepest):
+    """Prefixes shared by more than a few sets are deepened, and sets that lose too many trees are looked up."""
+    sets = sample()
+    sets |= {f"b{k}": {"busy", "busier", *(f"u{(k * 7 + j) % 60}" for j in range(4))} for k in range(60)}
+    want = brute(sets)
+    assert found(spark, sets, crowd=crowd, deepest=deepest) == want
+
+
+def test_deepening_is_paid_for():
+    spare = T.spare_trees(0.5, 60, 2, 3, 0.9999)
+    assert spare == 10 and T.miss(0.5, 50, 2, 3) <= 1e-4 < T.miss(0.5, 49, 2, 3)
+    assert T.spare_trees(0.5, 60, 2, 3, 0.999_999_9) == 0
+
+
+def test_one_busy_item_stays_near_linear(spark):
+    """Ten thousand sets that share one item, and nothing else, do not become all pairs of a bucket."""
+    n = 10_000
+    rows = spark.range(n).selectExpr("concat('s', id) as b", "explode(transform(sequence(0, 5), k -> if(k = 0, 'busy', concat('u', id, '-', k)))) as u")
+    near = spark.createDataFrame([("x1", f"u7-{k}") for k in range(1, 6)], "b string, u string")
+    members = written(incidence.pairs(rows.unionByName(near), "b", "u"))
+    sets = written(T.sketches(members, 120, 5))
+    found, deepened = T.leaves(sets, 60, 2, 0.5, crowd=64)
+    assert deepened is not None and deepened.filter("stuck").isEmpty()
+    widest = found.groupBy("t", "k1", "k2").count().agg({"count": "max"}).first()[0]
+    compared = T.neighbours(found, 0.5).count()
+    assert widest <= 64 and compared < 60 * n  # of n * n / 2 = 50 million pairs, in every crowded tree
+    links, _ = T.similar_pairs(members, 0.5, 5, crowd=64)
+    assert links.count() == 1
+
+
 def test_copies(spark):
     sets = {f"c{k}": {f"u{x}" for x in range(8)} for k in range(12)} | {"near": {f"u{x}" for x in range(7)}, "far": {f"w{x}" for x in range(8)}}
     df = table(spark, sets)
