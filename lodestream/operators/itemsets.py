@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.operators.pairs import pair_counts
-from lodestream.scratch import written
+from lodestream.operators.pairs import basket_pairs, pair_counts
+from lodestream.scratch import forget, is_written, written
 
 #: Buckets of the pair filter (a fixed value).
 BUCKETS = 1_000
@@ -36,9 +36,7 @@ def frequent_items(rows: DataFrame, support: int) -> DataFrame:
 
 def bucket_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, n: how many pairs of each basket fall into each hash bucket (xor of item hashes)."""
-    a, b = rows.select("s", F.col("i").alias("a")), rows.select("s", F.col("i").alias("b"))
-    pairs = a.join(b, "s").filter("a < b")
-    return pairs.groupBy(F.pmod(F.xxhash64("a").bitwiseXOR(F.xxhash64("b")), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
+    return basket_pairs(rows).groupBy(F.pmod(F.xxhash64("a").bitwiseXOR(F.xxhash64("b")), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def candidates(level: DataFrame, k: int) -> DataFrame:
@@ -65,6 +63,7 @@ def frequent_itemsets(rows: DataFrame, support: int, most: int | None = None) ->
     list the pairs of very wide baskets. From then on each level keeps where its sets occur: a candidate is looked for
     only in the baskets of the set it extends. Empty input gives no rows.
     """
+    rows = rows if is_written(rows) else written(rows)
     kept = written(rows.join(frequent_items(rows, support).select(F.col("items")[0].alias("i")), "i", "left_semi").select("s", "i"))
     levels = [frequent_items(kept, support)]
     if most == 1:
@@ -84,10 +83,11 @@ def frequent_itemsets(rows: DataFrame, support: int, most: int | None = None) ->
             first = level.select("id", F.col("items")[0].alias("i"), F.col("items")[1].alias("last")).join(kept, "i").select("id", "last", "s")
             found = written(first.join(kept.withColumnRenamed("i", "last"), ["s", "last"]).select("id", "s"))
         tried = cands.select("id", F.col("parent"), "last").join(found.select(F.col("id").alias("parent"), "s"), "parent").select("id", "last", "s")
-        hits = written(tried.join(kept.withColumnRenamed("i", "last"), ["s", "last"]).select("id", "s"))
+        past, hits = found, written(tried.join(kept.withColumnRenamed("i", "last"), ["s", "last"]).select("id", "s"))
         counted = hits.groupBy("id").agg(F.count("*").alias("support")).filter(F.col("support") >= support)
         level = written(cands.select("id", "items").join(counted, "id"))
-        found = hits.join(level.select("id"), "id", "left_semi")
+        found = written(hits.join(level.select("id"), "id", "left_semi"))
+        forget(past, hits)
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions.ids import clean_id
-from lodestream.operators.skew import broadcast_if_small
+from lodestream.operators.skew import broadcast_if_small, salted_join
 from lodestream.scratch import written
 
 #: Rows of one key beyond which its children are spread over several groups.
@@ -69,7 +69,7 @@ def with_kind(lost: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``kind`` to orphans: ``deleted``, ``later`` (the key's first parent row was loaded later) or ``missing``."""
     known = spans.select("parent", "ref_key").distinct().withColumn("_known", F.lit(True))
     kind = F.when(F.col("was_live"), "deleted").when(F.col("_known"), "later").otherwise("missing")
-    return lost.join(known, ["parent", "ref_key"], "left").withColumn("kind", kind).drop("_known")
+    return salted_join(lost, known, ["parent", "ref_key"], F.xxhash64("row_id"), "left", HOT_CHILDREN).withColumn("kind", kind).drop("_known")
 
 
 def orphan_counts(lost: DataFrame, period: str = "month") -> DataFrame:

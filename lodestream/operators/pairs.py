@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.skew import salted_join
 from lodestream.scratch import written
 
 #: Baskets of more items than this are counted by lookup instead of by listing their pairs, where that is possible.
 WIDE = 1_000
 
 
+def basket_pairs(rows: DataFrame, wide: int = WIDE) -> DataFrame:
+    """s, a, b: every pair a < b of each basket. ``rows``: distinct (s, i).
+
+    A basket of more than ``wide`` items is dealt to several tasks: its items by ``a``, with a copy of all of them as
+    ``b`` in each, so no task holds more than ``wide`` items against the basket's own.
+    """
+    a, b = rows.select("s", F.col("i").alias("a")), rows.select("s", F.col("i").alias("b"))
+    return salted_join(a, b, ["s"], F.xxhash64("a"), threshold=wide).filter("a < b").select("s", "a", "b")
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
+
+
 def _listed(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of each basket, counted."""
+    """Pairs of each basket, counted; no basket is wide."""
     a, b = rows.select("s", F.col("i").alias("a")), rows.select("s", F.col("i").alias("b"))
-    return a.join(b.hint("merge"), "s").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    return _counted(a.join(b.hint("merge"), "s").filter("a < b"))
 
 
 def pair_counts(kept: DataFrame, least: int, wide: int = WIDE) -> DataFrame:
@@ -38,6 +53,6 @@ def pair_counts(kept: DataFrame, least: int, wide: int = WIDE) -> DataFrame:
     total = listed.join(more, ["a", "b"], "left").select("a", "b", (F.col("common") + F.coalesce("more", F.lit(0))).alias("common"))
     if w >= least:
         often = big.groupBy("i").agg(F.count("*").alias("k")).filter(F.col("k") >= least).select("i")
-        only_wide = _listed(big.join(often, "i", "left_semi")).filter(F.col("common") >= least).join(listed, ["a", "b"], "left_anti")
+        only_wide = _counted(basket_pairs(big.join(often, "i", "left_semi"), wide)).filter(F.col("common") >= least).join(listed, ["a", "b"], "left_anti")
         total = total.unionByName(only_wide)
     return total.filter(F.col("common") >= least)

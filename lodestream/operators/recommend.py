@@ -11,9 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions.rounding import half_up
-from lodestream.operators.skew import broadcast_if_small
+from lodestream.operators.skew import salted_join
 from lodestream.scratch import written
 
+#: Ratings of one user beyond which they are dealt to several tasks.
+HOT_HISTORY = 10_000
 #: Neighbours used for a prediction, and the decimals similarities are ranked and used with.
 NEIGHBOURS, PLACES = 15, 6
 
@@ -66,7 +68,8 @@ def _neighbours(test: DataFrame, rated: DataFrame, ratings: DataFrame, penalties
     """Per test row and item its user rated: user_id, business_id, other, rating, similarity (positive ones)."""
     targets = test.select("user_id", "business_id").distinct()
     known = rated.select("business_id").distinct()
-    met = targets.join(known, "business_id", "left_semi").join(rated.select("user_id", F.col("business_id").alias("other"), "rating"), "user_id").filter("other != business_id")
+    others = rated.select("user_id", F.col("business_id").alias("other"), "rating")
+    met = salted_join(others, targets.join(known, "business_id", "left_semi"), ["user_id"], F.xxhash64("other"), threshold=HOT_HISTORY).filter("other != business_id")
     met = written(met.withColumns({"i": F.least("business_id", "other"), "j": F.greatest("business_id", "other")}))
     similar = item_similarity(met.select("i", "j").distinct(), rated, ratings, penalties).filter("similarity > 0")
     return met.join(similar, ["i", "j"])
@@ -149,5 +152,5 @@ def error_histogram(errors: DataFrame) -> DataFrame:
     bins = F.broadcast(spark.createDataFrame(list(enumerate(BINS)), "k int, bin string"))
     counted = errors.filter(F.col("error").isNotNull()).groupBy(F.floor(F.least(F.abs("error"), F.lit(4.0))).cast("int").alias("k")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(W.partitionBy())  # five rows
-    filled = bins.join(broadcast_if_small(counted, 5), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    filled = bins.join(F.broadcast(counted), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select("bin", "n", F.when(total > 0, half_up(F.col("n") / total, 6)).otherwise(F.lit(0.0)).alias("share"))

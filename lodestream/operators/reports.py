@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +51,18 @@ def partition_report(df: DataFrame, key: str, n: int) -> DataFrame:
     ``most`` is the share of the fullest partition; a hot key shows as a value far above ``1 / n``.
     """
 
-    def report(name: str, laid: DataFrame, parts: int) -> DataFrame:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"one": [1]})
+
+    def report(name: str, laid: DataFrame) -> DataFrame:
+        parts = laid.select(key).mapInArrow(counted, "one long").agg(F.count("*").cast("int").alias("n_partition"))  # a row for each, empty or not
         per = laid.groupBy(F.spark_partition_id().alias("p"), key).agg(F.count("*").alias("c")).groupBy("p").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"))
-        return per.agg(F.lit(name).alias("layout"), F.lit(parts).alias("n_partition"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_items"), F.sum("k").alias("n_keys"), (F.max("c") / F.sum("c")).alias("most"))
+        one = per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_items"), F.sum("k").alias("n_keys"), (F.max("c") / F.sum("c")).alias("most"))
+        return one.join(F.broadcast(parts)).select(F.lit(name).alias("layout"), "n_partition", "n_items", "n_keys", "most")
 
-    return report("default", df, df.rdd.getNumPartitions()).unionByName(report("customized", df.repartition(n, key), n))
+    return report("default", df).unionByName(report("customized", df.repartition(n, key)))
 
 
 def average_by(df: DataFrame, keys: Sequence[str], value: str, out: str, places: int = 2) -> DataFrame:

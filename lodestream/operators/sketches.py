@@ -23,9 +23,10 @@ FM_GROUP = 4
 
 def text_modulo(text: str, modulus: int = PRIME) -> Column:
     """The UTF-8 bytes of the text as one big number, modulo ``modulus``, without big numbers."""
+    # eight hex digits a step: the remainder so far, below 2^24, times 2^32 stays within a long
     digits = F.hex(F.encode(F.col(text), "UTF-8"))
-    each = F.transform(F.split(digits, ""), lambda c: F.conv(c, 16, 10).cast("bigint"))
-    return F.aggregate(F.filter(each, lambda v: v.isNotNull()), F.lit(0).cast("bigint"), lambda a, v: (a * 16 + v) % F.lit(modulus))
+    parts = F.filter(F.split(F.regexp_replace(digits, "(.{8})", "$1 "), " "), lambda c: c != "")
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, c: (F.call_function("shiftleft", a, F.length(c) * 4) + F.conv(c, 16, 10).cast("bigint")) % F.lit(modulus))
 
 
 def bloom_positions(text: str, bits: int = BLOOM_BITS) -> Column:

@@ -16,12 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestream.scratch import written
+from lodestream.scratch import is_written, written
 
 
 def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows (counted up to there), else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is.
+
+    At most ``most + 1`` rows are written to be counted, and a small ``df`` is read from there, so what lies before it
+    runs once. A table that is written already is counted where it is.
+    """
+    some = df if is_written(df) else written(df.limit(most + 1))
+    return F.broadcast(some) if some.limit(most + 1).count() <= most else df
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
@@ -40,6 +45,23 @@ def with_salt(df: DataFrame, keys: Sequence[str], spread: Column, threshold: int
     return df.join(broadcast_if_small(hot), on, "left").withColumn(salt, F.coalesce(F.pmod(spread, F.col("_ways")), F.lit(0)).cast("int")).withColumnRenamed("_ways", ways or "_ways").drop(*[] if ways else ["_ways"], *[f"_hot_{k}" for k in keys])
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner", threshold: int = 100_000) -> DataFrame:
+    """``big`` joined to ``small`` by ``keys`` (names of both), ``how`` being ``inner`` or ``left``.
+
+    Rows of ``big`` whose key has more than ``threshold`` rows are dealt to several tasks by ``spread`` (integral); the
+    rows of ``small`` with that key are copied to each. Keys below it are joined as usual.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"a salted join is inner or left, not {how}")
+    hot = written(hot_keys(big, keys, threshold).select(*keys, F.ceil(F.col("_rows") / threshold).cast("int").alias("_ways")))
+    if hot.isEmpty():
+        return big.join(small, list(keys), how)
+    hot = broadcast_if_small(hot)
+    dealt = big.join(hot, list(keys), "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_ways")), F.lit(0)).cast("int")).drop("_ways")
+    copied = small.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ways") - 1, F.lit(0))))).drop("_ways")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 def compress(df: DataFrame, keys: Sequence[str], value: str | Column, name: str = "value", weight: str = "weight") -> DataFrame:
     """One row per key and distinct value with its number of rows. A null value is a value of its own."""
     v = F.col(value) if isinstance(value, str) else value

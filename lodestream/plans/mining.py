@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.rounding import half_up, half_up_sql
 from lodestream.operators import itemsets as I
 from lodestream.operators import minhash as M
+from lodestream.operators.pairs import pair_counts
 from lodestream.plans.registry import Registry
 from lodestream.scratch import written
 from lodestream.sources import readers
@@ -165,7 +166,7 @@ def lsh_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
 def jaccard_exact(spark: SparkSession, d: str) -> DataFrame:
     """All pairs at the threshold through the shared users, without sketches."""
     m = _members(spark, d)
-    shared = m.select(F.col("s").alias("a"), "x").join(m.select(F.col("s").alias("b"), "x"), "x").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    shared = pair_counts(m.select(F.col("x").alias("s"), F.col("s").alias("i")), 1)
     n = m.groupBy("s").agg(F.count("*").alias("n"))
     both = shared.join(n.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
     union = F.col("na") + F.col("nb") - F.col("common")

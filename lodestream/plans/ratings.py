@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions.rounding import half_up, half_up_sql
 from lodestream.operators import features as X
 from lodestream.operators import recommend as P
+from lodestream.operators.pairs import basket_pairs
 from lodestream.plans.registry import Registry
 from lodestream.scratch import written
 from lodestream.sources import views as V
@@ -183,7 +184,7 @@ def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _all_sims(spark: SparkSession, d: str, penalties: str | None) -> DataFrame:
     r, rated = _rated(spark, d)
-    met = rated.select("user_id", F.col("business_id").alias("i")).join(rated.select("user_id", F.col("business_id").alias("j")), "user_id").filter("i < j").select("i", "j").distinct()
+    met = basket_pairs(rated.select(F.col("user_id").alias("s"), F.col("business_id").alias("i"))).select(F.col("a").alias("i"), F.col("b").alias("j")).distinct()
     return P.item_similarity(written(met), rated, r, penalties)
 
 

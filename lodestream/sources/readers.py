@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.operators.features import COMPLIMENTS
+
 _L, _S, _D, _I = T.LongType(), T.StringType(), T.DoubleType(), T.IntegerType()
 
 
@@ -15,13 +17,11 @@ def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-_COMPLIMENTS = ("hot", "more", "profile", "cute", "list", "note", "plain", "cool", "funny", "writer", "photos")
-
 #: Schemas of the JSON-lines and CSV inputs.
 SCHEMAS = {
     "review": _schema(review_id=_S, user_id=_S, business_id=_S, date=_S, stars=_D, useful=_D, funny=_D, cool=_D),
     "business": _schema(business_id=_S, city=_S, stars=_D, review_count=_I, is_open=_I, categories=_S, attributes=T.MapType(_S, _S)),
-    "user": _schema(user_id=_S, average_stars=_D, review_count=_I, fans=_I, useful=_I, funny=_I, cool=_I, friends=_S, elite=_S, yelping_since=_S, **{f"compliment_{c}": _I for c in _COMPLIMENTS}),
+    "user": _schema(user_id=_S, average_stars=_D, review_count=_I, fans=_I, useful=_I, funny=_I, cool=_I, friends=_S, elite=_S, yelping_since=_S, **{f"compliment_{c}": _I for c in COMPLIMENTS}),
     "tip": _schema(user_id=_S, business_id=_S, likes=_I),
     "photo": _schema(business_id=_S, label=_S),
     "checkin": _schema(business_id=_S, time=T.MapType(_S, _I)),
@@ -86,7 +86,7 @@ def point_rows(spark: SparkSession, path: str) -> DataFrame:
     """Headerless numeric CSV: id, label, then features of any number. Rows that do not parse are dropped."""
     parts = F.split("value", ",")
     t = spark.read.text(path).filter(F.btrim("value") != "").select(parts.alias("p"))
-    out = t.select(F.try_element_at("p", F.lit(1)).try_cast("long").alias("id"), F.try_element_at("p", F.lit(2)).try_cast("int").alias("label"), F.transform(F.slice("p", 3, 1_000_000), lambda x: x.try_cast("double")).alias("features"))
+    out = t.select(F.try_element_at("p", F.lit(1)).try_cast("long").alias("id"), F.try_element_at("p", F.lit(2)).try_cast("int").alias("label"), F.transform(F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0))), lambda x: x.try_cast("double")).alias("features"))
     return out.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("features") > 0) & F.forall("features", lambda x: x.isNotNull()))
 
 

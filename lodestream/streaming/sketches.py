@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators import sketches as S
+from lodestream.scratch import remove
 
 
 def fm_registers(stream: DataFrame, size: int) -> DataFrame:
@@ -51,6 +52,8 @@ class BloomState:
         path = f"{self.folder}/{name}-v"
         both = spark.read.parquet(f"{path}{batch_id - 1}").unionByName(new) if batch_id else new
         both.groupBy(key).agg(F.min("at").alias("at")).write.mode("overwrite").parquet(f"{path}{batch_id}")
+        if batch_id > 1:  # a batch run again needs the version before it, none earlier
+            remove(spark, f"{path}{batch_id - 2}")
         return spark.read.parquet(f"{path}{batch_id}")
 
     def handler(self, on_answers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

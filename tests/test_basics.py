@@ -111,3 +111,73 @@ def test_registry_refuses_a_name_twice():
     r.query("select 1")(test_clean_id)
     with pytest.raises(ValueError):
         r.query()(test_clean_id)
+
+
+def test_salted_join_is_a_join(spark, rows):
+    from lodestream.operators.skew import salted_join
+
+    big = spark.range(400).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 40)) as k", "id", "id * 2 as clash")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4), (None, 5)], "k string, v int")
+    for how in ("inner", "left"):
+        for threshold in (1_000, 20):
+            assert rows(salted_join(big, small, ["k"], F.col("id"), how, threshold).select("k", "id", "v")) == rows(big.join(small, "k", how).select("k", "id", "v"))
+    with pytest.raises(ValueError):
+        salted_join(big, small, ["k"], F.col("id"), "full")
+    assert salted_join(big.limit(0), small, ["k"], F.col("id")).count() == 0
+
+
+def test_a_hot_key_reaches_no_task_whole(spark):
+    from lodestream.operators.pairs import basket_pairs
+
+    rows = spark.range(3_000).selectExpr("if(id % 3 = 0, 'third', concat('s', id)) as s", "concat('i', id) as i")
+    pairs = basket_pairs(rows, wide=100)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() == 1_000 * 999 // 2 and "_salt" in plan
+
+
+def test_what_is_counted_for_a_broadcast_runs_once(spark):
+    from lodestream.operators.skew import broadcast_if_small
+    from lodestream.scratch import is_written, written
+
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            ran.add(len(b))
+            yield b
+
+    df = spark.range(50).repartition(2).mapInPandas(seen, "id long")
+    small = broadcast_if_small(df, 60)
+    assert spark.range(100).join(small, "id").count() == 50 and ran.value == 50
+    t = written(spark.range(5))
+    assert is_written(t) and not is_written(spark.range(5)) and broadcast_if_small(t, 4) is t
+
+
+def test_past_tables_are_deleted(spark):
+    from lodestream import scratch
+
+    t = scratch.written(spark.range(3))
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._lodestream_path)
+    exists = lambda: fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    assert exists()
+    scratch.forget(t, None, spark.range(2))
+    assert not exists()
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    from lodestream.scratch import shared_folder
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
+
+
+def test_text_modulo_is_the_number_of_the_bytes(spark):
+    from lodestream.operators.sketches import PRIME, text_modulo
+
+    texts = ["a", "", "abcd", "abcde", "Größe 12 €", "x" * 300, "~~~~~~~~"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text_modulo("t")).collect()]
+    assert got == [int.from_bytes(t.encode(), "big") % PRIME for t in texts]
