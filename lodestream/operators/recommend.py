@@ -112,19 +112,35 @@ def clip(value: Column, low: float = 1.0, high: float = 5.0) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
-def hybrid_weight(confidence: Column, user_reviews: Column, business_reviews: Column, user_mean: Column, business_mean: Column, variant: str = "standard") -> Column:
-    """Weight of the neighbourhood prediction against the model's. Null counts mean an unknown user or business.
+# Fixed values of the weight: its base, what an active and an inactive side add and take, what two extreme means add,
+# and its largest value; the counts of an active and an inactive user and business; the least weight, which an unknown
+# side sets; and the bounds beyond which a mean is extreme.
+WEIGHTS = {"standard": (0.2, 0.05, 0.05, 0.1, 0.4), "narrow": (0.15, 0.05, 0.03, 0.0, 0.3)}
+ACTIVE_USER, ACTIVE_BUSINESS = (30, 5), (50, 10)
+LEAST_WEIGHT, EXTREME = 0.05, (4.5, 1.5)
 
-    standard: 0.2 * confidence, +/-0.05 for a user of more than 30 / fewer than 5 reviews, +/-0.05 for a business of more
-    than 50 / fewer than 10, reset to 0.05 where either is unknown, +0.1 where both means are extreme (above 4.5 or
-    below 1.5), within 0.05..0.4. narrow: 0.15, +/-0.03, reset 0.05, no bonus, within 0.05..0.3.
+
+def hybrid_weight(confidence: Column, user_count: Column, business_count: Column, user_mean: Column, business_mean: Column, variant: str = "standard") -> Column:
+    """Weight of the neighbourhood prediction against the model's.
+
+    Counts and means are those of the training: the businesses a user rated, the users who rated a business; null means
+    unknown there. ``WEIGHTS`` holds the variants.
     """
-    base, step, bonus, top = {"standard": (0.2, 0.05, 0.1, 0.4), "narrow": (0.15, 0.03, 0.0, 0.3)}[variant]
+    base, up, down, bonus, top = WEIGHTS[variant]
     w = F.lit(base) * confidence
-    w = F.when(user_reviews.isNull(), 0.05).when(user_reviews > 30, w + step).when(user_reviews < 5, w - step).otherwise(w)
-    w = F.when(business_reviews.isNull(), 0.05).when(business_reviews > 50, w + step).when(business_reviews < 10, w - step).otherwise(w)
-    extreme = ((user_mean > 4.5) | (user_mean < 1.5)) & ((business_mean > 4.5) | (business_mean < 1.5))
-    return F.least(F.greatest(F.when(F.coalesce(extreme, F.lit(False)), w + bonus).otherwise(w), F.lit(0.05)), F.lit(top))
+    for count, (many, few) in ((user_count, ACTIVE_USER), (business_count, ACTIVE_BUSINESS)):
+        w = F.when(count.isNull(), LEAST_WEIGHT).when(count > many, w + up).when(count < few, w - down).otherwise(w)
+    high, low = EXTREME
+    extreme = ((user_mean > high) | (user_mean < low)) & ((business_mean > high) | (business_mean < low))
+    return F.least(F.greatest(F.when(F.coalesce(extreme, F.lit(False)), w + bonus).otherwise(w), F.lit(LEAST_WEIGHT)), F.lit(top))
+
+
+def training_activity(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user_id, user_count, user_mean; business_id, business_count, business_mean) of training ratings: how many
+    different ones each rated or was rated by, and the mean over all rows."""
+    both = ratings.groupBy("user_id", "business_id").agg(F.sum("rating").alias("_s"), F.count("rating").alias("_n"))
+    per = lambda key, name: both.groupBy(key).agg(F.count("*").alias(f"{name}_count"), (F.sum("_s") / F.sum("_n")).alias(f"{name}_mean"))
+    return per("user_id", "user"), per("business_id", "business")
 
 
 def blend(weight: Column, neighbourhood: Column, model: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +55,9 @@ def review_feature_avg(spark: SparkSession, d: str) -> DataFrame:
     return X.review_means(V.reviews(spark, d), ["business_id"], "r")
 
 
-@R.query(with_views("select user_id, business_id, avg(useful) as p_useful, avg(funny) as p_funny, avg(cool) as p_cool, count(*) as p_n from reviews where user_id is not null and business_id is not null group by 1, 2", "reviews"))
+@R.query(with_views("select user_id, business_id, avg(stars) as p_stars, avg(useful) as p_useful, avg(funny) as p_funny, avg(cool) as p_cool, count(*) as p_n from reviews where user_id is not null and business_id is not null group by 1, 2", "reviews"))
 def user_business_review_avg(spark: SparkSession, d: str) -> DataFrame:
-    return X.review_means(V.reviews(spark, d), ["user_id", "business_id"], "p")
+    return X.review_means(V.reviews(spark, d), ["user_id", "business_id"], "p", X.PAIR_VALUES)
 
 
 @R.query(with_views("select user_id, business_id, coalesce(sum(likes), 0)::bigint as likes, count(*) as tips from tips where user_id is not null and business_id is not null group by 1, 2", "tips"))
@@ -76,8 +78,8 @@ def checkin_totals(spark: SparkSession, d: str) -> DataFrame:
 _PRICE = "coalesce(try_cast(regexp_replace(coalesce(attributes['RestaurantsPriceRange2'], ''), '[^0-9]', '', 'g') as integer), 0)"
 _LISTED = "case when {0} is null or trim({0}) in ('', 'None') then 0 else len(string_split(trim({0}), ',')) end"
 _BF = f"""bf as (select business_id, coalesce(stars, 3.5) as b_stars, coalesce(review_count, 0) as b_reviews, coalesce(is_open, 0) as b_open, coalesce(cardinality(attributes), 0)::int as num_attrs, ({_LISTED.format("categories")})::int as num_categories, {_PRICE} as price_range from businesses)"""
-_UF = f"""uf as (select user_id, coalesce(average_stars, 3.5) as u_stars, coalesce(review_count, 0) as u_reviews, coalesce(fans, 0) as fans, (coalesce(useful, 0) + coalesce(funny, 0) + coalesce(cool, 0)) as votes, ({_LISTED.format("elite")})::int as num_elite, ({_LISTED.format("friends")})::int as num_friends,
- ({" + ".join(f"coalesce(compliment_{c}, 0)" for c in X.COMPLIMENTS)}) / 11.0::double as compliments, coalesce(date_diff('day', try_cast(substr(yelping_since, 1, 10) as date), date '{AS_OF}') / 365.25::double, 0.0::double) as membership_years from users)"""
+_UF = f"""uf as (select user_id, coalesce(average_stars, 3.5) as u_stars, coalesce(review_count, 0) as u_reviews, coalesce(fans, 0) as fans, coalesce(useful, 0) as u_useful, coalesce(funny, 0) as u_funny, coalesce(cool, 0) as u_cool, ({_LISTED.format("elite")})::int as num_elite, ({_LISTED.format("friends")})::int as num_friends,
+ ({" + ".join(f"coalesce(compliment_{c}, 0)" for c in X.COMPLIMENTS)}) / 11.0::double as compliments, greatest(coalesce(date_diff('day', try_cast(substr(yelping_since, 1, 10) as date), date '{AS_OF}') / 365.25::double, 0.0::double), 0.0::double) as membership_years from users)"""
 
 
 @R.query(with_views(f"with {_BF} select * from bf", "businesses"))
@@ -94,28 +96,47 @@ def _c(name: str) -> str:
     return f"coalesce({name}::double, {X._DEFAULTS.get(name, 0.0)}::double)"
 
 
-_DERIVED = {
-    "stars_product": f"{_c('u_stars')} * {_c('b_stars')}",
-    "stars_gap": f"abs({_c('u_stars')} - {_c('b_stars')})",
-    "u_activity": f"least({_c('u_reviews')} / 100, 1.0::double)",
-    "b_activity": f"least({_c('b_reviews')} / 500, 1.0::double)",
-    "activity_match": f"abs(least({_c('u_reviews')} / 100, 1.0::double) - least({_c('b_reviews')} / 500, 1.0::double))",
-    "u_bias": f"{_c('u_stars')} - 3.5::double",
-    "b_bias": f"{_c('b_stars')} - 3.5::double",
-}
+_TRAINED = {"u_stars": "coalesce(u_stars, user_mean, overall)", "b_stars": "coalesce(b_stars, business_mean, overall)"}
+
+
+def _derived(c: Callable[[str], str], overall: str) -> dict[str, str]:
+    return {
+        "stars_product": f"{c('u_stars')} * {c('b_stars')}",
+        "reviews_product": f"{c('u_reviews')} * {c('b_reviews')}",
+        "useful_rate": f"{c('r_useful')} / ({c('r_n')} + 1)",
+        "engagement": f"({c('u_useful')} + {c('u_funny')} + {c('u_cool')}) / ({c('u_reviews')} + 1)",
+        "activity_match": f"least({c('u_reviews')}, {c('b_reviews')}) / (greatest({c('u_reviews')}, {c('b_reviews')}) + 1)",
+        "u_bias": f"{c('u_stars')} - {overall}",
+        "b_bias": f"{c('b_stars')} - {overall}",
+    }
+
+
 _ACTUAL = "actual as materialized (select user_id, business_id, max(stars) as rating from reviews where user_id is not null and business_id is not null and stars is not null group by 1, 2)"
 _SIDES = """tf as (select user_id, business_id, sum(likes) as likes, count(*) as tips from tips where user_id is not null and business_id is not null group by 1, 2),
 pf as (select user_id::varchar as business_id, count(distinct event_type) as labels, count(*) as photos from events group by 1),
 cf as (select user_id::varchar as business_id, sum(coalesce(list_sum(list_transform(json_keys(props), lambda k: cast(json_extract(props, k) as integer))), 0)) as checkins from events group by 1)"""
 
 
-def _features_sql(columns: list[str]) -> str:
-    shown = ", ".join(f"{_DERIVED.get(c, _c(c))} as {c}" for c in columns)
-    return with_views(f"with {_ACTUAL}, {_RF}, {_BF}, {_UF}, {_SIDES} select actual.user_id, actual.business_id, actual.rating, {shown} from actual left join uf using (user_id) left join bf using (business_id) left join r using (business_id) left join tf on tf.user_id = actual.user_id and tf.business_id = actual.business_id left join pf on pf.business_id = actual.business_id left join cf on cf.business_id = actual.business_id", "reviews", "businesses", "users", "tips")
+_PAIR = "pr as (select user_id, business_id, avg(stars) as p_stars, avg(useful) as p_useful, avg(funny) as p_funny, avg(cool) as p_cool from reviews where user_id is not null and business_id is not null group by 1, 2)"
+_MEANS = "tu as (select user_id, avg(rating) as user_mean from ratings group by 1), tb as (select business_id, avg(rating) as business_mean from ratings group by 1), o as (select avg(rating) as overall from ratings)"
+
+
+def _features_sql(columns: list[str], trained: bool = False) -> str:
+    c = lambda name: _TRAINED.get(name, _c(name)) if trained else _c(name)
+    derived = _derived(c, "overall" if trained else "3.5::double")
+    shown = ", ".join(f"{derived.get(f, c(f))} as {f}" for f in columns)
+    joins = "left join uf using (user_id) left join bf using (business_id) left join r using (business_id) left join tf on tf.user_id = actual.user_id and tf.business_id = actual.business_id left join pr on pr.user_id = actual.user_id and pr.business_id = actual.business_id left join pf on pf.business_id = actual.business_id left join cf on cf.business_id = actual.business_id"
+    joins += " left join tu on tu.user_id = actual.user_id left join tb on tb.business_id = actual.business_id cross join o"
+    return with_views(f"with {_ACTUAL}, {_RF}, {_BF}, {_UF}, {_SIDES}, {_PAIR}, {_MEANS} select actual.user_id, actual.business_id, actual.rating, {shown} from actual {joins}", "reviews", "businesses", "users", "tips", "ratings")
+
+
+#: Feature sets whose unknown sides take the averages of the training.
+_TRAINED_SETS = (X.FEATURES_22, X.FEATURES_6)
 
 
 def _assembled(spark: SparkSession, d: str, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    return X.assemble(pairs, _users(spark, d), _businesses(spark, d), V.reviews(spark, d), columns, V.tips(spark, d), _photos(spark, d), _checkins(spark, d))
+    ratings = V.ratings(spark, d) if columns in _TRAINED_SETS else None
+    return X.assemble(pairs, _users(spark, d), _businesses(spark, d), V.reviews(spark, d), columns, V.tips(spark, d), _photos(spark, d), _checkins(spark, d), ratings)
 
 
 def _test_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -127,12 +148,12 @@ def features_8(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d, _test_pairs(spark, d), X.FEATURES_8)
 
 
-@R.query(_features_sql(X.FEATURES_6))
+@R.query(_features_sql(X.FEATURES_6, True))
 def features_6(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d, _test_pairs(spark, d), X.FEATURES_6)
 
 
-@R.query(_features_sql(X.FEATURES_22))
+@R.query(_features_sql(X.FEATURES_22, True))
 def features_22(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d, _test_pairs(spark, d), X.FEATURES_22)
 
@@ -143,6 +164,12 @@ def features_21(spark: SparkSession, d: str) -> DataFrame:
     return _assembled(spark, d, _test_pairs(spark, d), X.FEATURES_21)
 
 
+@R.query(_features_sql(X.FEATURES_25))
+def features_25(spark: SparkSession, d: str) -> DataFrame:
+    """All 25 features, with what the pair's own reviews say."""
+    return _assembled(spark, d, _test_pairs(spark, d), X.FEATURES_25)
+
+
 _SCALED = ("u_reviews", "fans", "b_reviews")
 
 
@@ -231,6 +258,12 @@ def cf_predict_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _predicted(spark, d, penalties="hybrid", confidence=True).withColumns({c: half_up(F.col(c), 6) for c in ("prediction", "confidence")})
 
 
+@R.query(_predict_sql("wide", True, 12))
+def cf_predict_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The variant with 12 neighbours and its own penalties."""
+    return _predicted(spark, d, neighbours=12, penalties="wide", confidence=True).withColumns({c: half_up(F.col(c), 6) for c in ("prediction", "confidence")})
+
+
 _ERRORS = f"e as (select prediction - rating as error from ({_predict_sql(None, False, 15)}) join (select user_id, business_id, max(case when stars between 1 and 5 and not isnan(stars) then stars end) as rating from ({with_views('select * from reviews', 'reviews')}) where user_id is not null and business_id is not null group by 1, 2 having rating is not null) using (user_id, business_id))"
 
 
@@ -249,17 +282,25 @@ def error_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weights_sql(variant: str) -> str:
-    base, step, bonus, top = {"standard": (0.2, 0.05, 0.1, 0.4), "narrow": (0.15, 0.03, 0.0, 0.3)}[variant]
+    base, up, down, bonus, top = P.WEIGHTS[variant]
     w = f"{base}::double * confidence"
-    w = f"(case when uf.user_id is null then 0.05::double when u_reviews > 30 then {w} + {step}::double when u_reviews < 5 then {w} - {step}::double else {w} end)"
-    w = f"(case when bf.business_id is null then 0.05::double when b_reviews > 50 then {w} + {step}::double when b_reviews < 10 then {w} - {step}::double else {w} end)"
-    w = f"case when (u_stars > 4.5 or u_stars < 1.5) and (b_stars > 4.5 or b_stars < 1.5) then {w} + {bonus}::double else {w} end"
-    return f"with p as ({_predict_sql('hybrid', True, 15)}), q as ({with_views(f'with {_UF} select * from uf', 'users')}), z as ({with_views(f'with {_BF} select * from bf', 'businesses')}) select p.user_id, p.business_id, {half_up_sql(f'least(greatest({w}, 0.05::double), {top}::double)', 6)} as weight from p left join q uf using (user_id) left join z bf using (business_id)"
+    for count, (many, few) in (("user_count", P.ACTIVE_USER), ("business_count", P.ACTIVE_BUSINESS)):
+        w = f"(case when {count} is null then {P.LEAST_WEIGHT}::double when {count} > {many} then {w} + {up}::double when {count} < {few} then {w} - {down}::double else {w} end)"
+    high, low = P.EXTREME
+    w = f"case when (user_mean > {high} or user_mean < {low}) and (business_mean > {high} or business_mean < {low}) then {w} + {bonus}::double else {w} end"
+    trained = {k: f"(select {k}_id, count(distinct {other}_id) as {k}_count, avg(rating) as {k}_mean from ({with_views('select * from ratings', 'ratings')}) group by 1)" for k, other in (("user", "business"), ("business", "user"))}
+    return f"with p as ({_predict_sql(*_WEIGHED[variant])}), u as {trained['user']}, b as {trained['business']} select p.user_id, p.business_id, {half_up_sql(f'least(greatest({w}, {P.LEAST_WEIGHT}::double), {top}::double)', 6)} as weight from p left join u using (user_id) left join b using (business_id)"
+
+
+#: Penalties, confidence and neighbours of the prediction that each variant weighs.
+_WEIGHED = {"standard": ("hybrid", True, 15), "narrow": ("wide", True, 12)}
 
 
 def _weights(spark: SparkSession, d: str, variant: str) -> DataFrame:
-    p = cf_predict_confidence(spark, d).join(_users(spark, d).select("user_id", "u_reviews", "u_stars"), "user_id", "left").join(_businesses(spark, d).select("business_id", "b_reviews", "b_stars"), "business_id", "left")
-    return p.withColumn("weight", half_up(P.hybrid_weight(F.col("confidence"), F.col("u_reviews"), F.col("b_reviews"), F.col("u_stars"), F.col("b_stars"), variant), 6))
+    users, businesses = P.training_activity(V.ratings(spark, d))
+    predicted = cf_predict_confidence if variant == "standard" else cf_predict_wide
+    p = predicted(spark, d).join(users, "user_id", "left").join(businesses, "business_id", "left")
+    return p.withColumn("weight", half_up(P.hybrid_weight(*[F.col(c) for c in ("confidence", "user_count", "business_count", "user_mean", "business_mean")], variant), 6))
 
 
 @R.query(_weights_sql("standard"))
@@ -294,6 +335,12 @@ def gbt_predict_8(spark: SparkSession, d: str) -> DataFrame:
     return _model(spark, d, X.FEATURES_8, trees=55, depth=7).select("user_id", "business_id", "prediction")
 
 
+@R.query()
+def gbt_predict_6(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees over the 6 features."""
+    return _model(spark, d, X.FEATURES_6, trees=20, depth=3).select("user_id", "business_id", "prediction")
+
+
 @R.query()
 def hybrid_predict(spark: SparkSession, d: str) -> DataFrame:
     """Neighbourhood and model predictions, blended by the dynamic weight."""

@@ -103,7 +103,12 @@ def test_weight_and_blend(spark):
     assert weight(0.5, 40, None, 3.0, 3.0) == 0.05
     assert weight(0.6, 31, 51, 4.9, 1.0) == 0.32
     assert weight(0.1, 1, 1, 3.0, 3.0) == 0.05
-    assert weight(0.6, 31, 51, 5.0, 5.0, "narrow") == 0.15
+    assert weight(0.6, 31, 51, 5.0, 5.0, "narrow") == 0.19
+    assert weight(0.6, 4, 51, 3.0, 3.0, "narrow") == 0.11 and weight(0.6, 31, 9, 3.0, 3.0, "narrow") == 0.11
+    train = df(spark, [("u", "a", 5), ("u", "a", 4), ("u", "b", 3), ("v", "a", 1)])
+    users, businesses = P.training_activity(train)
+    assert sorted(map(tuple, users.collect())) == [("u", 2, 4.0), ("v", 1, 1.0)]
+    assert sorted(map(tuple, businesses.collect())) == [("a", 2, 10 / 3), ("b", 1, 3.0)]
     assert spark.range(1).select(P.blend(F.lit(0.25), F.lit(1.0), F.lit(9.0))).first()[0] == 5.0
 
 
@@ -123,19 +128,50 @@ def test_features(spark):
     kinds = ", ".join(f"compliment_{c} int" for c in X.COMPLIMENTS)
     u = spark.createDataFrame([("u", 4.0, 3, 1, 1, 2, 3, "x, y", "2015", "2015-01-01 10:00:00", *[11] * 11), ("v", None, None, None, None, None, None, "None", None, "n/a", *[None] * 11)], f"user_id string, average_stars double, review_count int, fans int, useful int, funny int, cool int, friends string, elite string, yelping_since string, {kinds}")
     got = {r["user_id"]: tuple(r)[1:] for r in X.user_features(u, "2016-01-01").collect()}
-    assert got["u"] == (4.0, 3, 1, 6, 1, 2, 11.0, 365 / 365.25) and got["v"] == (3.5, 0, 0, 0, 0, 0, 0.0, 0.0)
+    assert got["u"] == (4.0, 3, 1, 1, 2, 3, 1, 2, 11.0, 365 / 365.25) and got["v"] == (3.5, 0, 0, 0, 0, 0, 0, 0, 0.0, 0.0)
+    assert X.user_features(u, "2014-01-01").filter("user_id = 'u'").first()["membership_years"] == 0.0
     c = spark.createDataFrame([("a", {"1": 2, "2": 3}), ("a", None), ("b", {})], "business_id string, time map<string,int>")
     assert {r[0]: r[1] for r in X.checkin_totals(c).collect()} == {"a": 5, "b": 0}
     t = spark.createDataFrame([("u", "a", 1), ("u", "a", None), (None, "a", 1)], "user_id string, business_id string, likes int")
     assert [tuple(r) for r in X.tip_statistics(t).collect()] == [("u", "a", 1, 2)]
     ph = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), (None, "y")], "business_id string, label string")
     assert [tuple(r) for r in X.photo_statistics(ph).collect()] == [("a", 2, 3)]
-    r = spark.createDataFrame([("u", "a", 1.0, 2.0, None), ("v", "a", 3.0, None, None)], "user_id string, business_id string, useful double, funny double, cool double")
-    pairs = df(spark, [("u", "a", 5), ("q", "zz", 1)])
-    full = X.assemble(pairs, X.user_features(u, "2016-01-01"), X.business_features(b), r, X.FEATURES_22)
-    got = {x["user_id"]: x for x in full.collect()}
-    assert got["u"]["r_useful"] == 2.0 and got["u"]["r_cool"] == 0.0 and got["u"]["stars_product"] == 16.0 and got["u"]["activity_match"] == abs(0.03 - 7 / 500)
-    assert got["q"]["u_stars"] == 3.5 and got["q"]["b_bias"] == 0.0 and full.columns == ["user_id", "business_id", "rating", *X.FEATURES_22]
+    r = spark.createDataFrame([("u", "a", 4.0, 1.0, 2.0, None), ("v", "a", 2.0, 3.0, None, None)], "user_id string, business_id string, stars double, useful double, funny double, cool double")
+    train = df(spark, [("u", "a", 4), ("q", "a", 2), ("q", "c", 3), ("v", "zz", 5)])
+    pairs = df(spark, [("u", "a", 5), ("q", "zz", 1), ("new", "other", 1)])
+
+    def vector(columns, **more):
+        got = X.assemble(pairs, X.user_features(u, "2016-01-01"), X.business_features(b), r, columns, t, ph, c, **more)
+        assert got.columns == ["user_id", "business_id", "rating", *columns]
+        return {x["user_id"]: tuple(x)[3:] for x in got.collect()}
+
+    # by hand: user u has 3 reviews, 1 fan, votes 1, 2, 3 and two friends; business a has 4 stars, 7 reviews, is open, 2 categories
+    assert X.FEATURES_22[:15] == ["r_useful", "r_funny", "r_cool", "r_n", "u_stars", "u_reviews", "fans", "u_useful", "u_funny", "u_cool", "num_friends", "b_stars", "b_reviews", "b_open", "num_categories"]
+    got = vector(X.FEATURES_22, ratings=train)
+    assert got["u"] == (2.0, 2.0, 0.0, 2.0, 4.0, 3.0, 1.0, 1.0, 2.0, 3.0, 2.0, 4.0, 7.0, 1.0, 2.0, 16.0, 21.0, 2 / 3, 6 / 4, 3 / 8, 0.5, 0.5)
+    assert got["q"] == (*[0.0] * 4, 2.5, *[0.0] * 6, 5.0, 0.0, 0.0, 0.0, 12.5, 0.0, 0.0, 0.0, 0.0, -1.0, 1.5)
+    assert got["new"][4] == 3.5 and got["new"][11] == 3.5 and got["new"][-2:] == (0.0, 0.0)
+    assert X.FEATURES_6 == ["r_useful", "r_funny", "u_stars", "b_stars", "u_reviews", "b_reviews"]
+    got = vector(X.FEATURES_6, ratings=train)
+    assert got["u"] == (2.0, 2.0, 4.0, 4.0, 3.0, 7.0) and got["q"] == (0.0, 0.0, 2.5, 5.0, 0.0, 0.0)
+    assert X.FEATURES_25[:10] == ["u_reviews", "u_useful", "u_funny", "u_cool", "fans", "u_stars", "num_elite", "num_friends", "compliments", "membership_years"] and len(X.FEATURES_21) == 21
+    got = vector(X.FEATURES_25)
+    assert got["u"] == (3.0, 1.0, 2.0, 3.0, 1.0, 4.0, 1.0, 2.0, 11.0, 365 / 365.25, 4.0, 7.0, 1.0, 1.0, 2.0, 4.0, 1.0, 2.0, 0.0, 1.0, 2.0, 2.0, 3.0, 5.0, 2.0)
+    assert got["new"] == (*[0.0] * 5, 3.5, *[0.0] * 4, 3.5, *[0.0] * 14)
+    assert vector(X.FEATURES_21)["u"] == got["u"][:15] + got["u"][19:]
+
+
+def test_trees_find_a_planted_signal(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 1, (2_400, 3))
+    stars = np.clip(np.where(x[:, 0] > 0.5, 4.3, 1.7) + 0.6 * x[:, 1] + rng.normal(0, 0.2, len(x)), 1, 5)
+    rows = spark.createDataFrame([(k, float(y), *map(float, v)) for k, (y, v) in enumerate(zip(stars, x, strict=True))], "id long, rating double, a double, b double, c double")
+    train, test = rows.filter("id % 4 > 0"), rows.filter("id % 4 = 0")
+    out = X.boosted_trees(train, test, ["a", "b", "c"], trees=20, depth=3)
+    error = out.select(F.sqrt(F.avg((F.col("prediction") - F.col("rating")) ** 2))).first()[0]
+    assert error < 0.35 * stars.std()  # the mean alone errs by the whole spread
 
 
 def test_scaling_and_trees(spark):
