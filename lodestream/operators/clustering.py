@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.prefix import prefix_sums
 from lodestream.scratch import written
 
 #: Chunks of the input, factor of the fine clustering, and the distance bound in multiples of sqrt(dimensions).
@@ -109,8 +110,10 @@ def _split(clustered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def chunk(points: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """Adds chunk 1..chunks by a hash of the id."""
-    return points.withColumn("chunk", (F.pmod(F.xxhash64("id"), F.lit(chunks)) + 1).cast("int"))
+    """Adds chunk 1..chunks, of equal size but for one point, in the order of a hash of the id."""
+    placed = prefix_sums(points.withColumns({"_h": F.xxhash64("id"), "_one": F.lit(1).cast("long")}), [], ["_h", "id"], "_one", "_at")
+    total = F.broadcast(placed.agg(F.max("_at").alias("_all")))  # one row
+    return placed.join(total).withColumn("chunk", F.floor((F.col("_at") - 1) * chunks / F.col("_all") + 1).cast("int")).drop("_h", "_one", "_at", "_all")
 
 
 def bfr(points: DataFrame, k: int, chunks: int = CHUNKS) -> tuple[DataFrame, DataFrame]:
@@ -216,15 +219,21 @@ def _between(a: Summaries, i: int, b: Summaries, j: int) -> float:
 
 
 def _merge_close(cs: Summaries, home: list[int], bound: float) -> None:
-    """One pass: each compression cluster into the nearest earlier one within the bound."""
-    for j in range(len(cs)):
-        if home[j] != j:
-            continue
-        near = [(_between(cs, i, cs, j), i) for i in range(j) if home[i] == i]
-        if near and min(near)[0] < bound:
-            i = min(near)[1]
-            cs.grow(i, cs.n[j], cs.s[j], cs.q[j])
-            home[j] = i
+    """One pass over the living compression clusters in order: each is to go into the first later one within the bound.
+
+    All of this is decided on the statistics before any merge; the merges then follow in the same order, so a chain ends
+    in its last cluster.
+    """
+    alive = [c for c in range(len(cs)) if home[c] == c]
+    into = {}
+    for at, i in enumerate(alive):
+        for j in alive[at + 1 :]:
+            if _between(cs, i, cs, j) < bound:
+                into[i] = j
+                break
+    for i, j in into.items():
+        cs.grow(j, cs.n[i], cs.s[i], cs.q[i])
+        home[i] = j
 
 
 def _join_discard(cs: Summaries, home: list[int], ds: Summaries, bound: float) -> dict[int, int]:

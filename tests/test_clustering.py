@@ -65,3 +65,19 @@ def test_majority(spark):
     a = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)], "id long, cluster int")
     labels = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9), (5, 3)], "id long, label int")
     assert sorted(tuple(r) for r in C.majority_labels(a, labels).collect()) == [(0, 7, 2, 3), (1, 3, 1, 2)]
+
+
+def test_compression_clusters_merge_into_the_first_later_one():
+    cs, home = C.Summaries(1), [0, 1, 2, 3]
+    for centre in (0.0, 3.0, 1.5, 50.0):  # spread 1 each: 0 is near 1 and 2, 1 near 2, 3 near none
+        cs.add(4, np.array([4 * centre]), np.array([4 * (centre * centre + 1)]))
+    C._merge_close(cs, home, 3.5)
+    assert home == [1, 2, 2, 3]  # the first later one, not the nearest, decided before any merge
+    assert cs.n[2] == 12 and cs.s[2][0] == 4 * 4.5 and C._home(home, 0) == 2
+
+
+def test_chunks_are_equal(spark):
+    p = points(spark, [[float(k)] for k in range(103)])
+    sizes = {r["chunk"]: r["count"] for r in C.chunk(p).groupBy("chunk").count().collect()}
+    assert sorted(sizes) == [1, 2, 3, 4, 5] and set(sizes.values()) == {20, 21}
+    assert C.chunk(p.limit(0)).count() == 0
