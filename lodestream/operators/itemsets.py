@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators.pairs import basket_pairs, pair_counts
+from lodestream.operators.sketches import text_modulo
 from lodestream.scratch import forget, is_written, written
 
 #: Buckets of the pair filter (a fixed value).
@@ -34,9 +35,30 @@ def frequent_items(rows: DataFrame, support: int) -> DataFrame:
     return rows.groupBy("i").agg(F.count("*").alias("support")).filter(F.col("support") >= support).select(F.array("i").alias("items"), "support")
 
 
+def bucket(a: str, b: str, buckets: int = BUCKETS) -> Column:
+    """The bucket of a pair: the xor of both items' numbers. An item that is no whole number goes by its bytes' number."""
+    number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), text_modulo(c))
+    return F.pmod(number(a).bitwiseXOR(number(b)), F.lit(buckets))
+
+
 def bucket_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, n: how many pairs of each basket fall into each hash bucket (xor of item hashes)."""
-    return basket_pairs(rows).groupBy(F.pmod(F.xxhash64("a").bitwiseXOR(F.xxhash64("b")), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
+    """bucket, n: how many pairs of each basket fall into each hash bucket."""
+    return basket_pairs(rows).groupBy(bucket("a", "b", buckets).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def pcy_pairs(rows: DataFrame, support: int, buckets: int = BUCKETS) -> DataFrame:
+    """items (sorted array of two), support of the frequent pairs, counted in two passes over the baskets.
+
+    The first counts items and buckets; the second counts only pairs of frequent items in buckets that hold at least
+    ``support`` pairs, which no frequent pair's bucket can miss. The list of such buckets is at most ``buckets`` long and
+    broadcast. Worth it where the buckets are many against the pairs, so that few of them are full.
+    """
+    rows = rows if is_written(rows) else written(rows)
+    full = F.broadcast(bucket_counts(rows, buckets).filter(F.col("n") >= support).select("bucket"))
+    kept = rows.join(frequent_items(rows, support).select(F.col("items")[0].alias("i")), "i", "left_semi").select("s", "i")
+    tried = basket_pairs(written(kept)).withColumn("bucket", bucket("a", "b", buckets)).join(full, "bucket", "left_semi")
+    counted = tried.groupBy("a", "b").agg(F.count("*").alias("support")).filter(F.col("support") >= support)
+    return counted.select(F.array("a", "b").alias("items"), "support")
 
 
 def candidates(level: DataFrame, k: int) -> DataFrame:
@@ -52,6 +74,21 @@ def candidates(level: DataFrame, k: int) -> DataFrame:
     return joined.join(have.groupBy("items").agg(F.count("*").alias("_n")).filter(F.col("_n") == k).select("items"), "items")
 
 
+def tried_sets(found: DataFrame) -> DataFrame:
+    """items of every set that the levels of ``found`` (items, support; complete) make a candidate, of any size.
+
+    The frequent items themselves, all pairs of them, and of k items those whose subsets of k - 1 are all frequent.
+    """
+    out = found.filter(F.size("items") == 1).select("items")
+    k = 2
+    while True:
+        level = _numbered(found.filter(F.size("items") == k - 1).select("items"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(candidates(level, k).select("items"))
+        k += 1
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("id", F.monotonically_increasing_id()))
 

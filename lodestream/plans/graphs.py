@@ -75,13 +75,27 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
     return G.modularity(split, e, e).select(half_up(F.col("modularity"), 9).alias("modularity"))
 
 
-@R.query()
+def _betweenness_sql(levels: int = 12) -> str:
+    """Shares of shortest paths by breadth-first levels from all roots, for graphs of at most ``levels`` levels."""
+    parts = ["n0 as materialized (select distinct u as root, u as node, 1.0::double as ways from l)"]
+    for k in range(1, levels + 1):
+        known = f"not exists (select 1 from n{k - 1} x where x.root = p.root and x.node = l.v)" + (f" and not exists (select 1 from n{k - 2} x where x.root = p.root and x.node = l.v)" if k > 1 else "")
+        parts.append(f"n{k} as materialized (select p.root, l.v as node, sum(p.ways) as ways from n{k - 1} p join l on l.u = p.node where {known} group by 1, 2)")
+    parts.append(f"c{levels} as materialized (select root, node, 1.0::double as credit from n{levels})")
+    for k in range(levels, 0, -1):
+        parts.append(f"x{k} as materialized (select n.root, n.node, p.node as parent, c.credit * p.ways / n.ways as x from n{k} n join c{k} c on c.root = n.root and c.node = n.node join l on l.u = n.node join n{k - 1} p on p.root = n.root and p.node = l.v)")
+        parts.append(f"c{k - 1} as materialized (select n.root, n.node, 1.0::double + coalesce(sum(x.x), 0.0::double) as credit from n{k - 1} n left join x{k} x on x.root = n.root and x.parent = n.node group by 1, 2)")
+    every = " union all ".join(f"select node, parent, x from x{k}" for k in range(1, levels + 1))
+    return f"with {_edges_sql()}, {', '.join(parts)}, w as (select least(node, parent) as a, greatest(node, parent) as b, {half_up_sql(f'sum(x) / 2 + {sinks.NOISE}::double', 5)} as betweenness from ({every}) group by 1, 2)"
+
+
+@R.query(with_views(f"{_betweenness_sql()} select a, b, betweenness from w", "pairs"))
 def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
     b = G.betweenness(_edges(spark, d))
-    return b.select("a", "b", half_up(F.col("betweenness"), 5).alias("betweenness"))
+    return b.select("a", "b", half_up(F.col("betweenness") + sinks.NOISE, 5).alias("betweenness"))
 
 
-@R.query()
+@R.query(with_views(f"{_betweenness_sql()} select '(' || chr(39) || a || chr(39) || ', ' || chr(39) || b || chr(39) || '), ' || betweenness as value from w", "pairs"))
 def betweenness_report(spark: SparkSession, d: str) -> DataFrame:
     return sinks.betweenness_lines(G.betweenness(_edges(spark, d)))
 
@@ -103,9 +117,12 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("cluster", "n", (F.col("j") + 1).alias("j"), half_up(F.col("v.sum"), 6).alias("s"), half_up(F.col("v.sumsq"), 6).alias("q"))
 
 
-@R.query(with_views("""with f as materialized (select id, label as cluster, unnest(features) as x, generate_subscripts(features, 1) as j from points), s as materialized (select cluster, j, avg(x) as c, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) as sd from f group by 1, 2),
-d as (select f.id, s.cluster, sqrt(sum(((x - c) / sd) * ((x - c) / sd))) as d from f join s using (j) where sd > 1e-12 group by 1, 2)
-select id, case when min(d) < 16 then arg_min(cluster, d) end::bigint as cluster from d group by 1""", "points"))
+_NEAREST = """with f as materialized (select id, label as cluster, unnest(features) as x, generate_subscripts(features, 1) as j from points), s as materialized (select cluster, j, avg(x) as c, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0)) as sd from f group by 1, 2),
+d as (select f.id, s.cluster, sqrt(sum(((x - c) / sd) * ((x - c) / sd))) as d from f join s using (j) where sd > 1e-12 group by 1, 2)"""
+_NEAREST_END = "select id, case when min(d) < 16 then arg_min(cluster, d) end::bigint as cluster from d group by 1"
+
+
+@R.query(with_views(f"{_NEAREST} {_NEAREST_END}", "points"))
 def mahalanobis_assign(spark: SparkSession, d: str) -> DataFrame:
     """Points to the nearest labelled group within two standard deviations a dimension."""
     import numpy as np
@@ -119,6 +136,21 @@ def mahalanobis_assign(spark: SparkSession, d: str) -> DataFrame:
     return C.nearest(pts, summary, C.BOUND * len(rows[0]["sum"]) ** 0.5).select("id", F.get(names, F.col("cluster").cast("int")).alias("cluster"))
 
 
+_ASSIGNED = "z as (select cluster, label, count(*) as n from a join points using (id) where cluster is not null group by 1, 2), m as (select cluster, label, n, size from (select *, sum(n) over (partition by cluster)::bigint as size, row_number() over (partition by cluster order by n desc, label) as k from z) where k = 1)"
+
+
+@R.query(with_views(_NEAREST + f", a as materialized ({_NEAREST_END}), {_ASSIGNED} select cluster, label, n, size from m", "points"))
+def majority_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent label of each cluster of :func:`mahalanobis_assign`, and how often."""
+    return C.majority_labels(mahalanobis_assign(spark, d).filter("cluster is not null"), V.points(spark, d))
+
+
+@R.query(with_views(_NEAREST + f", a as materialized ({_NEAREST_END}), {_ASSIGNED} select (select count(*) from a) as points, (select count(*) from a where cluster is not null) / (select count(*) from a)::double as covered, (select sum(n) / sum(size)::double from m) as accuracy", "points"))
+def assignment_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Share of points assigned to a cluster, and of those whose label is their cluster's."""
+    return C.accuracy(mahalanobis_assign(spark, d), V.points(spark, d))
+
+
 @R.query()
 def bfr_rounds(spark: SparkSession, d: str) -> DataFrame:
     return C.bfr(V.points(spark, d), K)[1]

@@ -15,7 +15,7 @@ from lodestream.sources import readers
 from lodestream.sources import sinks
 from lodestream.sources import views as V
 from lodestream.sources.tables import table
-from lodestream.sources.views import with_views
+from lodestream.sources.views import bytes_modulo_sql, with_views
 
 R = Registry()
 
@@ -112,13 +112,50 @@ def son_date_customer(spark: SparkSession, d: str) -> DataFrame:
     return _as_text(I.frequent_itemsets(rows.join(big, "s", "left_semi"), BY_DAY))
 
 
-@R.query()
+_NUMBER = "coalesce(try_cast(i as bigint), " + bytes_modulo_sql("i") + ")"
+
+
+@R.query(f"""with l as materialized ({_ROWS_ORDER}), h as materialized (select i, {_NUMBER} as x from (select distinct i from l)), r as materialized (select * from l join h using (i))
+select xor(p.x, q.x) % {I.BUCKETS} as bucket, count(*) as n from r p join r q on p.s = q.s and p.i < q.i group by 1""")
 def pcy_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pairs per hash bucket over the brands of an order."""
     return I.bucket_counts(_by_order(spark, d))
 
 
-@R.query()
+@R.query(f"with f as ({_levels_sql(_ROWS_ORDER, BY_ORDER, 2)}) select items, support from f where size = 2")
+def pcy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent pairs of brands by the two passes with the bucket filter."""
+    return I.pcy_pairs(_by_order(spark, d), BY_ORDER).select(F.array_join("items", "|").alias("items"), "support")
+
+
+def _sections_sql(rows: str, support: int, k: int) -> str:
+    """The itemset report: candidates up to ``k + 1`` items made from the frequent sets, then these."""
+    levels = _levels_sql(rows, support, k).partition(" select 1 as size")[0]
+    quoted = lambda cols: "'(' || " + " || ', ' || ".join(f"chr(39) || {c} || chr(39)" for c in cols) + " || ')'"
+    parts, outs = [], ["select 1 as section, 0 as size, 'Candidates:' as value", "select 2, 0, 'Frequent Itemsets:'"]
+    for size in range(1, k + 2):
+        cols = [f"i{j}" for j in range(1, size + 1)]
+        if size == 1:
+            parts.append("c1 as (select i1 from f1)")
+        else:
+            prefix = " and ".join(["true", *(f"p.i{j} = q.i{j}" for j in range(1, size - 1))])
+            shown = ", ".join([*(f"p.i{j} as i{j}" for j in range(1, size)), f"q.i{size - 1} as i{size}"])
+            subsets = " and ".join(["true", *(f"exists (select 1 from f{size - 1} z where " + " and ".join(f"z.i{m} = y.{c}" for m, c in enumerate([x for x in cols if x != f"i{drop}"], 1)) + ")" for drop in range(1, size - 1))])
+            parts.append(f"c{size} as (select * from (select {shown} from f{size - 1} p join f{size - 1} q on {prefix} and p.i{size - 1} < q.i{size - 1}) y where {subsets})")
+        for section, name in ((1, f"c{size}"), (2, f"f{size}")):
+            if size <= k or section == 1:
+                outs.append(f"select {section}, {size}, string_agg({quoted(cols)}, ',' order by {', '.join(cols)}) from {name} having count(*) > 0")
+    return levels + ", " + ", ".join(parts) + " " + " union all ".join(outs)
+
+
+@R.query(with_views(_sections_sql(_ROWS_USER, BY_USER, 5), "pairs"))
+def itemset_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report: candidates and frequent itemsets under their headings, one line per size."""
+    found = written(I.frequent_itemsets(_by_user(spark, d), BY_USER))
+    return sinks.itemset_sections(I.tried_sets(found), found)
+
+
+@R.query(f"select size, value from ({with_views(_sections_sql(_ROWS_USER, BY_USER, 5), 'pairs')}) where section = 2 and size > 0")
 def itemset_report(spark: SparkSession, d: str) -> DataFrame:
     """The frequent itemsets as report lines, one per size."""
     return sinks.itemset_lines(I.frequent_itemsets(_by_user(spark, d), BY_USER))

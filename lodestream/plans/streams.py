@@ -9,12 +9,12 @@ from lodestream.operators import sketches as S
 from lodestream.operators.prefix import prefix_sums
 from lodestream.plans.registry import Registry
 from lodestream.sources import views as V
-from lodestream.sources.views import with_views
+from lodestream.sources.views import bytes_modulo_sql, with_views
 
 R = Registry()
 BATCH, SMALL_BITS = 1_000, 9_973
 
-_HORNER = f"list_reduce(list_transform(range(1, length(hex(encode(user_id))) + 1), lambda i: (strpos('0123456789ABCDEF', substr(hex(encode(user_id)), i, 1)) - 1)::bigint), lambda a, x: (a * 16 + x) % {S.PRIME}, 0::bigint)"
+_HORNER = bytes_modulo_sql("user_id")
 
 
 def _bloom_sql(bits: int, size: int) -> str:

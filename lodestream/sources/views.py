@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.ids import clean_id, clean_id_sql
 from lodestream.operators.orphans import first_delivery
+from lodestream.operators.sketches import PRIME
 from lodestream.sources.tables import table
 
 
@@ -102,6 +103,12 @@ WITH = {
 }
 
 
+def bytes_modulo_sql(text: str, modulus: int = PRIME) -> str:
+    """SQL of ``text_modulo``: the bytes of a text as one big number, modulo ``modulus``."""
+    digits = f"hex(encode({text}))"
+    return f"list_reduce(list_transform(range(1, length({digits}) + 1), lambda k: (strpos('0123456789ABCDEF', substr({digits}, k, 1)) - 1)::bigint), lambda a, x: (a * 16 + x) % {modulus}, 0::bigint)"
+
+
 def with_views(sql: str, *names: str) -> str:
     """``sql`` preceded by the named views."""
     body = sql.strip()
