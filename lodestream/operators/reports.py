@@ -46,7 +46,8 @@ def rows_per_partition(df: DataFrame) -> DataFrame:
 
 
 def partition_report(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Partitioning by default and by hash of ``key`` into ``n``: layout, n_partition, n_items, n_keys, most.
+    """Partitioning by default, by hash of ``key`` into ``n``, and at random into ``n``: layout, n_partition, n_items,
+    n_keys (summed over partitions), most.
 
     ``most`` is the share of the fullest partition; a hot key shows as a value far above ``1 / n``.
     """
@@ -62,7 +63,7 @@ def partition_report(df: DataFrame, key: str, n: int) -> DataFrame:
         one = per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_items"), F.sum("k").alias("n_keys"), (F.max("c") / F.sum("c")).alias("most"))
         return one.join(F.broadcast(parts)).select(F.lit(name).alias("layout"), "n_partition", "n_items", "n_keys", "most")
 
-    return report("default", df).unionByName(report("customized", df.repartition(n, key)))
+    return report("default", df).unionByName(report("customized", df.repartition(n, key))).unionByName(report("random", df.repartition(n)))
 
 
 def average_by(df: DataFrame, keys: Sequence[str], value: str, out: str, places: int = 2) -> DataFrame:

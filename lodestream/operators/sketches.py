@@ -56,8 +56,13 @@ def bloom_answers(stream: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
 
 def bloom_false_positive_rate(stream: DataFrame, size: int, bits: int = BLOOM_BITS) -> DataFrame:
     """batch, n, false_positives, fpr; the rate is of all elements of the batch."""
+    return false_positive_rate(bloom_answers(stream, bits), size)
+
+
+def false_positive_rate(answers: DataFrame, size: int) -> DataFrame:
+    """The same of answers given before: seq, maybe_seen, seen."""
     wrong = F.col("maybe_seen") & ~F.col("seen")
-    per = batches(bloom_answers(stream, bits), size).groupBy("batch").agg(F.count("*").alias("n"), F.count_if(wrong).alias("false_positives"))
+    per = batches(answers, size).groupBy("batch").agg(F.count("*").alias("n"), F.count_if(wrong).alias("false_positives"))
     return per.withColumn("fpr", F.col("false_positives") / F.col("n"))
 
 
@@ -92,6 +97,17 @@ def coin(seq: str, salt: int) -> Column:
     return ((h * F.lit(69_069) + F.lit(1)) % F.lit(4_294_967_296)) / F.lit(4_294_967_296.0)
 
 
+def ask(stream: DataFrame, num: int, salt: int = 3) -> DataFrame:
+    """draw, user_id: ``num`` elements drawn with replacement. ``stream``: n (dense from 1), user_id.
+
+    Draw k takes the element whose place a coin fixed by k and ``salt`` names, so it is the same on every run.
+    """
+    total = F.broadcast(stream.agg(F.max("n").alias("_all")))  # one row
+    draws = stream.sparkSession.range(1, num + 1).withColumnRenamed("id", "draw").join(total)
+    places = draws.select("draw", (F.floor(coin("draw", salt) * F.col("_all")) + 1).alias("n"))
+    return places.join(stream.select("n", "user_id"), "n").select("draw", "user_id")
+
+
 def reservoir_events(stream: DataFrame, k: int) -> DataFrame:
     """slot, n, user_id: which element enters which slot when. ``stream``: n (dense from 1), user_id.
 

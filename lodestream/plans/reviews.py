@@ -59,13 +59,19 @@ def review_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.review_report(V.reviews(spark, d), YEAR).withColumns(lists)
 
 
-@R.query(with_views("select l as layout, count(*) as n_items from reviews, (values ('default'), ('customized')) x(l) where business_id is not null group by 1", "reviews"))
+@R.query(with_views("select l as layout, count(*) as n_items from reviews, (values ('default'), ('customized'), ('random')) x(l) where business_id is not null group by 1", "reviews"))
 def partition_row_totals(spark: SparkSession, d: str) -> DataFrame:
     """Rows over all partitions in both layouts; how they are spread depends on the engine."""
     r = V.reviews(spark, d).filter("business_id is not null").select("business_id")
     return reports.partition_report(r, "business_id", 10).select("layout", "n_items")
 
 
+@R.query(with_views("select 10 as n_partition, count(*) as n_items, count(distinct business_id) as n_keys from reviews where business_id is not null", "reviews"))
+def customized_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """The layout by hash of the business: every business is in one partition."""
+    return partition_report(spark, d).filter("layout = 'customized'").select("n_partition", "n_items", "n_keys")
+
+
 @R.query()
 def partition_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.partition_report(V.reviews(spark, d).filter("business_id is not null").select("business_id"), "business_id", 10)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from lodestream.operators import sketches as S
 from lodestream.operators.prefix import prefix_sums
 from lodestream.plans.registry import Registry
+from lodestream.scratch import new_path
 from lodestream.sources import views as V
 from lodestream.sources.views import bytes_modulo_sql, with_views
+from lodestream.streaming import sketches as T
+from lodestream.streaming import sources, windows
 
 R = Registry()
 BATCH, SMALL_BITS = 1_000, 9_973
@@ -73,6 +76,45 @@ def reservoir_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return S.reservoir_snapshots(_dense(spark, d), 100, 100, _SLOTS)
 
 
+@R.query(with_views(f"select k.n as draw, q.user_id from (select unnest(range(1, 1001)) as n) k, (select row_number() over (order by seq) as n, user_id, count(*) over () as c from stream) q where q.n = floor({_coin(3).replace('(n *', '(k.n *')} * c)::bigint + 1", "stream"))
+def stream_draws(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand elements drawn with replacement."""
+    return S.ask(_dense(spark, d), 1_000)
+
+
+def _replay(spark: SparkSession, d: str) -> DataFrame:
+    """The stored stream as one of Structured Streaming. A pattern finds the table as a folder and as a single file."""
+    return sources.replay(spark, f"{d}/stream_users.parque[t]")
+
+
+@R.query(with_views(f"with {_fm_sql()} select batch, estimate from e", "stream"))
+def streaming_fm_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The estimates from registers kept as a streaming aggregate."""
+    return T.fm_estimate(sources.drain(T.fm_registers(_replay(spark, d), BATCH), "complete"))
+
+
+@R.query(with_views("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, city, count(*) as rows from stream where ts is not null group by 1, 2", "stream"))
+def streaming_daily_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per event-time window of a day and city, in one go, so that none is late."""
+    out = sources.drain(windows.windowed_users(_replay(spark, d), "1 day", "7 days"), "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "city", "rows")
+
+
+@R.query(_bloom_sql(S.BLOOM_BITS, BATCH))
+def streaming_bloom_fpr(spark: SparkSession, d: str) -> DataFrame:
+    """The Bloom filter's false positives when its state goes from micro-batch to micro-batch, four of them."""
+    t = V.stream(spark, d).select("seq", "user_id", "ts", F.lit(None).cast("timestamp_ntz").alias("arrived_at"), "city", "channel")
+    folder, out = new_path(spark), new_path(spark)
+    low, high = t.agg(F.min("seq"), F.max("seq")).first()
+    if low is not None:
+        sources.write_blocks(t, folder, -(-high // 4))
+        state = T.BloomState(new_path(spark), truth=True)
+        answers = state.handler(lambda a, k: a.write.mode("overwrite").parquet(f"{out}/b={k}"))
+        sources.replay(spark, folder).writeStream.option("checkpointLocation", new_path(spark)).foreachBatch(answers).trigger(availableNow=True).start().awaitTermination()
+    said = spark.read.schema("seq long, user_id string, maybe_seen boolean, seen boolean").parquet(out) if low is not None else spark.createDataFrame([], "seq long, user_id string, maybe_seen boolean, seen boolean")
+    return S.false_positive_rate(said, BATCH)
+
+
 @R.query(with_views("select strftime(ts, '%Y-%m-%d') as day, count(distinct user_id) as users from stream where ts is not null group by 1", "stream"))
 def users_per_day(spark: SparkSession, d: str) -> DataFrame:
     """Exact distinct users per day, beside which the sketches are judged."""

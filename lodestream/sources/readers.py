@@ -33,12 +33,17 @@ SCHEMAS = {
 FOLDER = {"user": "user.json", "business": "business.json", "review": "review_train.json", "tip": "tip.json", "photo": "photo.json", "checkin": "checkin.json", "ratings": "yelp_train.csv"}
 
 
-def json_lines(spark: SparkSession, path: str, kind: str, strict: bool = False) -> DataFrame:
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` in at least ``partitions`` partitions: dealt anew, which shuffles; as it is where that is None."""
+    return df if partitions is None else df.repartition(partitions)
+
+
+def json_lines(spark: SparkSession, path: str, kind: str, strict: bool = False, partitions: int | None = None) -> DataFrame:
     """JSON lines of a known kind. ``strict`` fails on a malformed line, else such lines are dropped.
 
     Missing keys and nulls give nulls; extra keys are ignored; an empty file gives no rows.
     """
-    return spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    return spread(spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path), partitions)
 
 
 def csv_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -122,3 +122,40 @@ def test_report_lines(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.1234567)], "a string, b string, betweenness double")
     assert [r["value"] for r in sinks.betweenness_lines(edges).collect()] == ["('a', 'c'), 2.12346", "('a', 'b'), 1.0"]
     assert sinks.json_object(edges.limit(1)).first()["value"] == '{"a":"a","b":"b","betweenness":1.0}'
+
+
+def test_pairs_by_the_bucket_filter(spark):
+    rnd = random.Random(5)
+    sets = [set(map(str, rnd.sample(range(12), rnd.randint(1, 6)))) for _ in range(40)] + [{"x", "y", "3"}] * 4
+    want = {k: v for k, v in brute(sets, 4).items() if len(k) == 2}
+    for buckets in (1, 7, 1_000):
+        assert found(I.pcy_pairs(baskets(spark, sets), 4, buckets)) == want
+    assert found(I.pcy_pairs(baskets(spark, [set()]), 1)) == {}
+    n = {r["bucket"]: r["n"] for r in I.bucket_counts(baskets(spark, [{"3", "5"}, {"-1", "0"}])).collect()}
+    assert n == {6: 1, 999: 1}  # 3 xor 5, and -1 xor 0 wrapped around
+
+
+def test_tried_sets_are_those_with_frequent_parts(spark):
+    sets = [{"1", "2", "3"}, {"1", "2"}, {"1", "3"}, {"2", "3"}, {"1", "4"}]
+    frequent = I.frequent_itemsets(baskets(spark, sets), 2)
+    tried = sorted(tuple(r["items"]) for r in I.tried_sets(frequent).collect())
+    assert tried == [("1",), ("1", "2"), ("1", "2", "3"), ("1", "3"), ("2",), ("2", "3"), ("3",)]
+    lines = [tuple(r) for r in sinks.itemset_sections(I.tried_sets(frequent), frequent).collect()]
+    assert lines[0] == (1, 0, "Candidates:") and lines[3] == (1, 3, "('1', '2', '3')") and lines[4] == (2, 0, "Frequent Itemsets:") and lines[-1][1] == 2
+
+
+def test_a_user_with_a_third_of_the_rows(spark):
+    """Pairs, buckets and similarities with one basket far wider than the others."""
+    sets = [{f"i{k}" for k in range(300)}] + [{f"i{k % 290}", f"i{(k * 7) % 290}"} for k in range(300)]
+    rows = baskets(spark, sets)
+    want = {c: n for c, n in brute_pairs(sets).items() if n >= 2}
+    assert {(r["a"], r["b"]): r["common"] for r in pair_counts(rows, 2, wide=50).collect()} == want
+    assert I.bucket_counts(rows).agg(F.sum("n")).first()[0] == sum(len(s) * (len(s) - 1) // 2 for s in sets)
+
+
+def brute_pairs(sets):
+    out = {}
+    for s in sets:
+        for c in itertools.combinations(sorted(s), 2):
+            out[c] = out.get(c, 0) + 1
+    return out

@@ -85,3 +85,11 @@ def test_reservoir(spark):
     assert got == want and len(got) == 20
     assert 230 < taken < 370  # about 100 * ln 20
     assert S.reservoir_snapshots(stream(spark, users[:50], "n")).count() == 0
+
+
+def test_ask_draws_with_replacement(spark):
+    stream = spark.createDataFrame([(k, f"u{k}") for k in range(1, 11)], "n long, user_id string")
+    got = {r["draw"]: r["user_id"] for r in S.ask(stream, 200).collect()}
+    assert sorted(got) == list(range(1, 201)) and set(got.values()) == {f"u{k}" for k in range(1, 11)}
+    assert got == {r["draw"]: r["user_id"] for r in S.ask(stream, 200).collect()}
+    assert S.ask(stream.limit(0), 5).count() == 0
