@@ -78,6 +78,21 @@ def p1_distinct_users(spark: SparkSession, d: str) -> DataFrame:
     return bitmaps.distinct_cells(_visits(spark, d), _DIMS, _REPORT_CELLS, "user_id", DISTINCT_ERROR)[0].drop("kind")
 
 
+@R.query(f"""
+with v as (select strftime(ts, '%Y-%m-%d') as day, city, channel, {_USER} as user_id from stream_users),
+c as (select day, city, channel from v where user_id is not null group by grouping sets ((day), (day, city), (day, channel), (day, city, channel), (city), (channel), (city, channel)))
+select count(*) as cells, 0::bigint as outside from c""")
+def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """All cells of the report against exact counts: how many there are, and how many are off by more than six standard
+    errors and two users."""
+    v = _visits(spark, d)
+    cells = written(bitmaps.distinct_cells(v, _DIMS, _REPORT_CELLS, "user_id", DISTINCT_ERROR)[0])
+    exact = bitmaps.exact_cells(v, _DIMS, _REPORT_CELLS, "user_id", cells).alias("e")
+    both = cells.alias("c").join(exact, [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in ("kind", *_DIMS)], "left")
+    off = F.abs(F.col("estimate") - F.col("ids")) > 6 * F.col("std_error") + 2
+    return both.agg(F.count("*").alias("cells"), F.count_if(F.coalesce(off, F.lit(True))).alias("outside"))
+
+
 # ---- 2: clusters of centroids ----------------------------------------------------------------------------------------
 
 RADIUS = 6.0
@@ -87,12 +102,15 @@ def _clusters(spark: SparkSession, d: str) -> DataFrame:
     return centroids.cluster_records(table(spark, d, "cluster_stats"), RADIUS)
 
 
-@R.query("""
+_NEAR_SQL = """
 with e as (select stat_id, n, sum, row_number() over (partition by stat_id order by loaded_at nulls last, n, sum) as k from cluster_stats
   where stat_id is not null and n >= 1 and len(sum) = 8 and len(list_filter(sum, lambda x: x is not null and isfinite(x))) = 8),
-v as materialized (select stat_id, list_transform(sum, lambda x: x / n) as c from e where k = 1),
-p as (select a.stat_id, min(b.stat_id) as near, count(*) as m from v a join v b on abs(a.c[1] - b.c[1]) <= 6 and abs(a.c[2] - b.c[2]) <= 6 and abs(a.c[3] - b.c[3]) <= 6 and list_distance(a.c, b.c) <= 6 group by 1)
-select stat_id, near as lead_id from p where m > 1""")
+v as materialized (select stat_id, n, list_transform(sum, lambda x: x / n) as c from e where k = 1),
+p as (select a.stat_id, any_value(a.n) as n, min(b.stat_id) as near, count(*) as m from v a join v b on abs(a.c[1] - b.c[1]) <= 6 and abs(a.c[2] - b.c[2]) <= 6 and abs(a.c[3] - b.c[3]) <= 6 and list_distance(a.c, b.c) <= 6 group by 1)
+"""
+
+
+@R.query(_NEAR_SQL + "select stat_id, near as lead_id from p where m > 1")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records whose cluster has another record, with the smallest stat_id of the cluster."""
     c = written(_clusters(spark, d).select("stat_id", "lead_id"))
@@ -100,6 +118,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return c.join(several, "lead_id", "left_semi").select("stat_id", "lead_id")
 
 
+@R.query(_NEAR_SQL + "select near as lead_id, count(*) as records, sum(n)::bigint as points from p group by 1 having count(*) > 1")
+def p2_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Size in records and in points of every cluster of two or more."""
+    c = _clusters(spark, d).groupBy("lead_id").agg(F.count("*").alias("records"), F.sum("n").alias("points"))
+    return c.filter("records > 1")
+
+
 @R.query()
 def p2_cluster_report(spark: SparkSession, d: str) -> DataFrame:
     """Size in records and points, spread, and the three most typical members of every cluster of two or more."""

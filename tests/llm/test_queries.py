@@ -11,7 +11,7 @@ from lodestream.llm.bitmaps import ALL
 from tests.compare import agree
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p6_found", "p10_text_statistics"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_within_bound", "p2_found", "p2_cluster_sizes", "p3_found", "p4_found", "p6_found", "p10_text_statistics"])
 def test_query_equals_its_sql(spark, name):
     agree(spark, name)
 
