@@ -13,9 +13,11 @@ once per document and written; labelling reads them back and is by the model alo
 
 from __future__ import annotations
 
+import functools
 import re
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 #: Words of a piece of a long line; characters where a line has no blanks.
 PIECE_WORDS, PIECE_CHARS = 30, 240
+#: Documents whose features are computed together, and their characters, of which one document may have more.
+BATCH_DOCS, BATCH_CHARS = 500, 2_000_000
 #: Words back at which a repeated triple is junk by itself; triples in a row at one distance that make a copy.
 NEAR, COPY = 12, 30
 
@@ -70,9 +74,10 @@ _KEY = re.compile(r"^\s*[\"'{]?[\w .-]{1,24}[\"']?\s*[:=]\s*\S+")
 _TAG = re.compile(r"<[^<>]{1,200}>|&\w{1,8};|https?://\S+|www\.\S+")
 _CELL = re.compile(r"</?t[dhr]\b|\{\{|\}\}|\\hline|\"\s*:\s*[\"\d\[{]", re.I)
 _LOG = re.compile(r"\b\d{1,2}:\d{2}:\d{2}\b|\b(?:ERR|ERROR|WARN|INFO|DEBUG|TRACE|FATAL)\b|\b0x[0-9a-f]+\b|\w+=\w+|\b[\w.]+\(\w*\.?\w*:\d+\)|\bat [\w.$]+\(")
-_DIGIT, _LOWER, _UPPER = re.compile(r"\d"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
-_POINTS = re.compile(r"[.,!?;:'’\"()…-]")
-_FOREIGN = re.compile(r"[\u0370-\u1dff\u2c00-\ua71f\ua800-\uaaff\uabc0-\ufaff\ufb13-\ufdff\ufe70-\ufeff\uff66-\uffdc]")
+# Characters that end sentences, other punctuation, characters between units, and ranges of code points of
+# scripts whose words the lists do not have.
+_STOPS, _MARKS, _CUTS = ".!?…。！？", ".,!?;:'’\"()…-", "\n.;!?…。！？,|\t•·"
+_SCRIPTS = ((0x0370, 0x1DFF), (0x2C00, 0xA71F), (0xA800, 0xAAFF), (0xABC0, 0xFAFF), (0xFB13, 0xFDFF), (0xFE70, 0xFEFF), (0xFF66, 0xFFDC))
 _LATIN = re.compile(r"^[a-zà-ÿœßāăąćčďęěğıłńňőřśşšťůűźżž]+$")
 
 
@@ -86,22 +91,22 @@ def pieces_of(text: str) -> list[tuple[str, int]]:
             out.append((line, number))
             continue
         if "  " not in line and "\t" not in line:
-            held: list[str] = []
-            size = 0
-            for token in line.split():
-                if held and (len(held) >= PIECE_WORDS or size + len(token) > PIECE_CHARS):
-                    out.append((" ".join(held), number))
-                    held, size = [], 0
-                held.append(token)
-                size += len(token) + 1
-            out.append((" ".join(held), number))
+            tokens = line.split()
+            ends = list(accumulate(len(t) + 1 for t in tokens))  # where the next token begins
+            first = base = 0
+            while first < len(tokens):
+                k = min(first + PIECE_WORDS, max(first + 1, bisect_right(ends, base + PIECE_CHARS + 1, first)))
+                out.append((" ".join(tokens[first:k]), number))
+                first, base = k, ends[k - 1]
             continue
         spans = [m.span() for m in _TOKEN.finditer(line)]
+        ends = [e for _, e in spans]
         first = 0
-        for k in range(1, len(spans) + 1):
-            if k == len(spans) or k - first >= PIECE_WORDS or spans[k][1] - spans[first][0] > PIECE_CHARS:
-                out.append((line[spans[first][0] : spans[k - 1][1]], number))
-                first = k
+        while first < len(spans):
+            begin = spans[first][0]
+            k = min(first + PIECE_WORDS, max(first + 1, bisect_right(ends, begin + PIECE_CHARS, first)))
+            out.append((line[begin : ends[k - 1]], number))
+            first = k
     return out
 
 
@@ -148,32 +153,57 @@ class Letters:
         return found
 
 
-def _coded(t: str) -> bool:
-    """Of a token of over 12 characters: too long for a word, or a mixture of digits and letters of both cases; letter
-    runs in it are no words."""
-    return len(t) > 40 and not _FOREIGN.search(t) or bool(_DIGIT.search(t) and _LOWER.search(t) and _UPPER.search(t))
+_LETTER, _DIGIT, _POINT, _SPACE, _CUT, _FOREIGN, _STOPPED = (1 << k for k in range(7))
 
 
-def _repeated(words: list[str]) -> list[bool]:
-    """For each word whether the triple it begins came up at most ``NEAR`` words before, or is in the fourth or a later
-    copy of a longer passage: among ``COPY`` triples or more in a row that all came up the same distance before.
+def _flags_of(c: str) -> int:
+    """Letters are what words are made of: word characters that are no decimal digit."""
+    k = ord(c)
+    return (
+        _LETTER * (c.isalnum() and not c.isdecimal()) | _DIGIT * c.isdecimal() | _POINT * (c in _MARKS) | _SPACE * c.isspace() | _CUT * (c in _CUTS)
+        | _FOREIGN * any(lo <= k <= hi for lo, hi in _SCRIPTS) | _STOPPED * (c in _STOPS)
+    )
+
+
+@functools.lru_cache(maxsize=1)
+def _flag_table() -> np.ndarray:
+    return np.array([_flags_of(chr(k)) for k in range(1 << 16)], np.uint8)
+
+
+def _flags(points: np.ndarray) -> np.ndarray:
+    """The flags of every code point; those beyond 65,535 are looked at one by one, each once."""
+    out = _flag_table()[np.minimum(points, 0xFFFF)]
+    high = np.flatnonzero(points > 0xFFFF)
+    if len(high):
+        kinds, at = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([_flags_of(chr(k)) for k in kinds.tolist()], np.uint8)[at]
+    return out
+
+
+def _repeated(words: Sequence[str] | np.ndarray, doc: np.ndarray | None = None) -> list[bool]:
+    """For each word that begins a triple of its document: whether the triple came up at most ``NEAR`` words before, or
+    is in the fourth or a later copy of a longer passage: among ``COPY`` triples or more in a row that all came up the
+    same distance before.
 
     Phrases repeated over and over come back at once, dumped blocks of any length as a whole; a sentence that someone
-    writes again and again, between others, does neither.
+    writes again and again, between others, does neither. Words may be given by numbers; ``doc`` gives each word's
+    document, ascending (default: all are of one).
     """
-    grams = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(grams)) == len(grams):
-        return [False] * len(grams)
-    codes = pd.factorize(np.array(words, object))[0]
-    pair = pd.factorize(codes[:-1] * len(words) + codes[1:])[0]
-    gram = pd.factorize(pair[:-1] * len(words) + codes[2:])[0]
-    order = np.argsort(gram, kind="stable")
-    begins = np.r_[True, gram[order][1:] != gram[order][:-1]]
-    place = np.arange(len(gram))
-    lag, earlier = np.zeros(len(gram), np.int64), np.empty(len(gram), np.int64)
-    lag[order[1:]] = np.where(begins[1:], 0, order[1:] - order[:-1])
+    codes = pd.factorize(words if isinstance(words, np.ndarray) else np.array(words, object))[0].astype(np.int64)
+    doc = np.zeros(len(codes), np.int64) if doc is None else doc
+    at = np.flatnonzero(doc[2:] == doc[:-2])
+    if not len(at):
+        return []
+    pair = pd.factorize(codes[:-1] * len(codes) + codes[1:])[0]
+    triple = pd.factorize(pair[at] * len(codes) + codes[at + 2])[0]
+    doc = doc[at]
+    order = np.lexsort((at, triple, doc))
+    a, d = triple[order], doc[order]
+    begins = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])]
+    lag, earlier, place = np.zeros(len(at), np.int64), np.empty(len(at), np.int64), np.arange(len(at))
+    lag[order[1:]] = np.where(begins[1:], 0, at[order[1:]] - at[order[:-1]])
     earlier[order] = place - np.maximum.accumulate(np.where(begins, place, 0))
-    edge = np.flatnonzero(np.r_[True, lag[1:] != lag[:-1]])
+    edge = np.flatnonzero(np.r_[True, (lag[1:] != lag[:-1]) | (doc[1:] != doc[:-1])])
     run = np.repeat(np.diff(np.r_[edge, len(lag)]), np.diff(np.r_[edge, len(lag)]))
     return (((lag > 0) & (lag <= NEAR)) | ((lag > NEAR) & (run >= COPY) & (earlier >= 3))).tolist()
 
@@ -184,90 +214,132 @@ SIZES = (5, 5, 5, 4, 4, 4, 2, 2, 4, 4, 5, 3, 3, 2, 3, 4, 16, 16, 160)
 LISTED = (0, 1, 2, 10, 16, 17, 18)
 
 
+def _measured(parts: list[str], doc: np.ndarray, letters: Letters) -> dict[str, np.ndarray]:
+    """Raw measures of all pieces of a batch at once, by name. ``doc``: the number of each piece's document, ascending.
+
+    What characters tell is counted over the batch's text as one array; patterns are tried only on pieces that have the
+    characters they need.
+    """
+    bare = [p.strip() for p in parts]
+    text = "\n".join(bare)
+    low = text.lower()
+    if len(low) != len(text):  # some characters have longer small forms; places must stay
+        low = "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(p) for p in bare])
+    first = np.cumsum(size + 1) - size - 1
+    flags = _flags(points)
+    n = len(bare)
+    count = lambda mask: np.add.reduceat(mask, first, dtype=np.int64)
+    has = lambda chars: count(np.isin(points, [ord(c) for c in chars])) > 0
+    letter, digit, space = flags & _LETTER > 0, flags & _DIGIT > 0, flags & _SPACE > 0
+    solid, digits = count(~space), count(digit)
+
+    # tokens that are codes: too long for a word, or digits with letters of both cases; letter runs in them are no words
+    gaps = np.r_[True, space, True]
+    begin, end = np.flatnonzero(gaps[:-1] & ~gaps[1:]), np.flatnonzero(~gaps[:-1] & gaps[1:])
+    long = end - begin > 12
+    begin, end = begin[long], end[long]
+    coded, mixed = np.zeros(len(points), bool), np.zeros(n, np.int64)
+    if len(begin):
+        each = lambda mask: np.add.reduceat(np.r_[mask, False], np.ravel(np.column_stack([begin, end])), dtype=np.int64)[::2] > 0
+        code = ((end - begin > 40) & ~each(flags & _FOREIGN > 0)) | (each(digit) & each((points >= 97) & (points <= 122)) & each((points >= 65) & (points <= 90)))
+        for x, y in zip(begin[code].tolist(), end[code].tolist(), strict=True):
+            coded[x:y] = True
+        mixed = count(coded)
+
+    in_word = letter & ~coded
+    edges = np.r_[False, in_word, False]
+    begin, end = np.flatnonzero(~edges[:-1] & edges[1:]), np.flatnonzero(edges[:-1] & ~edges[1:])
+    of = np.searchsorted(first, begin, side="right") - 1
+    numbers, different = pd.factorize(np.array([low[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)], object))
+    kind = np.array([letters.known[w] if w in letters.known else letters.kind(w) for w in different], np.int64)[numbers] if len(begin) else np.zeros(0, np.int64)
+    tally = lambda weight: np.bincount(of, weights=weight, minlength=n)
+    words = tally(np.ones(len(of)))
+    clause, link = tally((kind == 1) | (kind == 3)), tally((kind == 2) | (kind == 3))
+    odd, alphabetic = tally((kind >= 4) * (end - begin)), tally(end - begin)
+
+    again = np.zeros(len(of), bool)
+    mine = doc[of]
+    again[np.flatnonzero(mine[2:] == mine[:-2])] = _repeated(numbers, mine)
+
+    # units: stretches with a letter between punctuation, dashes and gaps
+    dash = np.isin(points, [ord(c) for c in "-–—/"])
+    cut = flags & _CUT > 0
+    cut |= dash & np.r_[False, space[:-1]] & np.r_[space[1:], False]
+    cut |= space & np.r_[space[1:], False]
+    at = np.flatnonzero(letter)
+    stretch = np.cumsum(cut)[at]
+    units = np.bincount(np.searchsorted(first, at[np.r_[True, stretch[1:] != stretch[:-1]]] if len(at) else at, side="right") - 1, minlength=n)
+
+    def found(pattern: re.Pattern, where: np.ndarray, measure: Callable[[list], int] = len) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        for k in np.flatnonzero(where).tolist():
+            out[k] = measure(pattern.findall(bare[k]))
+        return out
+
+    fields = found(_FIELDS, has("\t|;<") | (count(space & np.r_[space[1:], False]) > 0) | (has(",") & (digits > 0)))
+    same = np.r_[False, (fields[1:] == fields[:-1]) & (doc[1:] == doc[:-1])]
+    tags = found(_TAG, has("<&:") | np.array(["w." in p for p in bare]), lambda m: sum(map(len, m)))
+    stops, pair = count(flags & _STOPPED > 0) > 0, has(":=")
+    mark = np.array([bool(_MARK.match(p)) for p in parts])
+    ended = np.array([s and bool(_STOP.search(p[-16:])) for s, p in zip(stops.tolist(), bare, strict=True)])
+    key = np.array([x and bool(_KEY.match(p)) for x, p in zip((pair & (words <= 6) & (clause == 0)).tolist(), parts, strict=True)])
+    hashes = np.array([sum(t.count("#") for t in p.split() if t[0] == "#") if x else 0 for x, p in zip(has("#").tolist(), bare, strict=True)])
+    share = lambda v: np.divide(v, words, out=np.zeros(n), where=words > 0)
+    return {
+        "words": words, "clauses": clause, "clause": share(clause), "link": share(link), "per_unit": np.divide(words - link, units, out=np.zeros(n), where=units > 0), "digits": digits / solid, "other": (solid - alphabetic - digits - count(flags & _POINT > 0)) / solid,
+        "odd": np.maximum(odd, mixed) / solid, "repeat": share(tally(again)), "fields": fields, "alike": (fields >= 1) & (same | np.r_[same[1:], False]), "key": key, "logs": found(_LOG, (digits > 0) | has("=(")), "tags": tags / solid, "cells": found(_CELL, has('<{"\\')),
+        "mark": mark, "hash": hashes, "end": ended, "units": units, "letters": alphabetic / solid, "solid": solid, "foreign": 2 * count(flags & _FOREIGN > 0) > alphabetic,
+    }
+
+
+def features_of(texts: Sequence[str], letters: Letters) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """(features of all pieces, end to end; their raw measures; the number of pieces of each text)."""
+    cut = [[p for p, _ in pieces_of(t)] for t in texts]
+    lengths = np.array([len(c) for c in cut], np.int64)
+    parts = [p for c in cut for p in c]
+    if not parts:
+        return np.zeros((0, len(SIZES)), np.int64), {}, lengths
+    r = _measured(parts, np.repeat(np.arange(len(cut)), lengths), letters)
+    level = lambda bounds, name: np.searchsorted(bounds, r[name], side="left")
+    shape, odd, repeat, end = level((1.5, 2.2, 3.2, 5.0), "per_unit"), level((0.0, 0.1, 0.4), "odd"), level((0.3, 0.5, 0.7), "repeat"), r["end"].astype(np.int64)
+    # what oddness, repeats, the shape of the units and the end tell depends on the clause and link words
+    talk = np.select([r["clause"] >= 0.15, r["clauses"] > 0, r["link"] >= 0.1], [3, 2, 1], 0)
+    x = np.column_stack([
+        level((0.0, 0.07, 0.15, 0.25), "clause"), np.searchsorted((0.0, 0.12, 0.25, 0.4), r["clause"] + r["link"], side="left"), shape, level((0.0, 0.08, 0.3), "digits"), level((0.0, 0.04, 0.2), "other"),
+        np.minimum(3, r["fields"]), end, r["mark"], repeat, odd, level((0, 3, 7, 15), "words"), np.select([r["alike"] & (r["fields"] >= 2), r["alike"]], [2, 1], 0), np.minimum(2, r["logs"]), r["key"], np.select([r["cells"] > 0, r["tags"] > 0.2], [2, 1], 0),
+        level((0.2, 0.4, 0.7), "letters"), talk * 4 + odd, talk * 4 + repeat, ((talk * 5 + shape) * 4 + level((1, 3, 7), "units")) * 2 + end,
+    ]).astype(np.int64)
+    x[np.ix_(r["foreign"], LISTED)] = -1
+    return x, r, lengths
+
+
 def features(text: str, letters: Letters) -> tuple[np.ndarray, np.ndarray, list[dict]]:
-    """(features of the pieces, their non-blank characters, raw measures) of a text; empty for a blank one."""
-    parts = pieces_of(text)
-    rows, weights, raws = [], [], []
-    split = [p.split() for p, _ in parts]
-    codes = [[t for t in ts if len(t) > 12 and _coded(t)] for ts in split]
-    lowered = [_WORD.findall((" ".join(t for t in ts if t not in cs) if cs else p).lower()) for (p, _), ts, cs in zip(parts, split, codes, strict=True)]
-    again = _repeated([w for ws in lowered for w in ws])
-    offset, known = 0, letters.known
-    shapes = [len(_FIELDS.findall(part.strip())) for part, _ in parts]
-    for k, (part, _) in enumerate(parts):
-        words = lowered[k]
-        bare = part.strip()
-        tokens = split[k]
-        solid = sum(map(len, tokens))
-        count = len(words)
-        kinds = [known[w] if w in known else letters.kind(w) for w in words]
-        clause = kinds.count(1) + kinds.count(3)
-        link = kinds.count(2) + kinds.count(3)
-        units = [u for u in _UNIT.split(bare) if u and _WORD.search(u)]
-        per_unit = (count - link) / len(units) if units else 0.0
-        alphabetic = sum(map(len, words))
-        digits = len(_DIGIT.findall(bare))
-        other = solid - alphabetic - digits - len(_POINTS.findall(bare))
-        odd = sum(len(w) for w, kind in zip(words, kinds, strict=True) if kind >= 4)
-        mixed = sum(map(len, codes[k]))
-        hashed = sum(t.count("#") for t in tokens if t[0] == "#") if "#" in bare else 0
-        tagged = sum(map(len, _TAG.findall(bare))) if "<" in bare or "&" in bare or "w." in bare or "://" in bare else 0
-        own = again[offset : offset + count]
-        repeat = sum(own) / count if count else 0.0
-        offset += count
-        fields = shapes[k]
-        alike = fields >= 1 and ((k > 0 and shapes[k - 1] == fields) or (k + 1 < len(shapes) and shapes[k + 1] == fields))
-        key = bool(_KEY.match(part)) and count <= 6 and clause == 0
-        logs = len(_LOG.findall(bare)) if digits or "=" in bare or "(" in bare else 0
-        cells = len(_CELL.findall(bare)) if "<" in bare or "{" in bare or '"' in bare or "\\" in bare else 0
-        raw = {
-            "words": count, "clause": clause / count if count else 0.0, "link": link / count if count else 0.0, "per_unit": per_unit, "digits": digits / solid, "other": other / solid,
-            "odd": max(odd, mixed) / solid, "repeat": repeat, "fields": fields, "alike": alike, "key": key, "logs": logs, "tags": tagged / solid, "cells": cells,
-            "mark": bool(_MARK.match(part)), "hash": hashed, "end": bool(_STOP.search(bare[-16:])), "units": len(units), "letters": alphabetic / solid, "solid": solid,
-        }
-        rows.append((
-            bisect_left((0.0, 0.07, 0.15, 0.25), raw["clause"]), bisect_left((0.0, 0.12, 0.25, 0.4), raw["clause"] + raw["link"]), bisect_left((1.5, 2.2, 3.2, 5.0), per_unit), bisect_left((0.0, 0.08, 0.3), raw["digits"]), bisect_left((0.0, 0.04, 0.2), raw["other"]),
-            min(3, fields), int(raw["end"]), int(raw["mark"]), bisect_left((0.3, 0.5, 0.7), repeat), bisect_left((0.0, 0.1, 0.4), raw["odd"]), bisect_left((0, 3, 7, 15), count), (2 if alike and fields >= 2 else 1 if alike else 0), min(2, logs), int(key), 2 if raw["cells"] else 1 if raw["tags"] > 0.2 else 0,
-            bisect_left((0.2, 0.4, 0.7), raw["letters"]),
-        ))
-        r = rows[-1]
-        # what oddness, repeats, the shape of the units and the end tell depends on the clause and link words
-        talk = 3 if raw["clause"] >= 0.15 else 2 if clause else 1 if raw["link"] >= 0.1 else 0
-        rows[-1] = (*r, talk * 4 + r[9], talk * 4 + r[8], ((talk * 5 + r[2]) * 4 + bisect_left((1, 3, 7), len(units))) * 2 + r[6])
-        if _FOREIGN.search(bare) and 2 * len(_FOREIGN.findall(bare)) > alphabetic:
-            rows[-1] = tuple(-1 if j in LISTED else v for j, v in enumerate(rows[-1]))
-        weights.append(solid)
-        raws.append(raw)
-    return np.array(rows, np.int64).reshape(len(rows), len(SIZES)), np.array(weights, float), raws
-
-
-def plain_case(r: dict) -> int:
-    """State of a piece whose kind is plain, else -1."""
-    if r["cells"] >= 2:
-        return TABLE
-    if r["logs"] >= 2 and r["clause"] < 0.1:
-        return JUNK
-    if r["repeat"] > 0.7 and r["words"] >= 6:
-        return JUNK
-    if r["odd"] > 0.4 or r["letters"] < 0.2 and not r["alike"]:
-        return JUNK
-    if r["tags"] > 0.5:
-        return JUNK
-    if r["key"] or (r["alike"] and r["fields"] >= 2 and r["clause"] < 0.08):
-        return TABLE
-    if r["hash"] >= 2:
-        return LIST
-    if r["clause"] >= 0.15 and r["words"] >= 8 and r["repeat"] < 0.5 and r["per_unit"] >= 2.5 and r["digits"] < 0.15:
-        return PROSE
-    if r["clause"] > 0 and r["clause"] + r["link"] >= 0.25 and r["words"] >= 6 and r["end"] and r["repeat"] < 0.3 and r["per_unit"] >= 2.5 and r["digits"] < 0.15 and r["odd"] < 0.1:
-        return PROSE  # without sentences of few clause words the model would count them to the junk, for want of any like them
-    if r["link"] >= 0.25 and r["words"] >= 8 and r["end"] and r["units"] <= 2 and r["repeat"] < 0.3 and r["digits"] < 0.15 and r["odd"] < 0.1:
-        return PROSE
-    if r["clause"] == 0 and r["words"] >= 2 and r["per_unit"] <= 3.0 and r["digits"] < 0.25 and (r["mark"] or r["units"] >= 4):
-        return LIST
-    if r["clause"] == 0 and r["words"] >= 10 and r["units"] <= 2 and r["link"] < 0.1:
-        return JUNK
-    return -1
+    """(features of the pieces, their non-blank characters, raw measures) of one text; empty for a blank one."""
+    x, r, _ = features_of([text], letters)
+    return x, r["solid"].astype(float) if r else np.zeros(0), [{k: v[j] for k, v in r.items()} for j in range(len(x))]
+
+
+def plain_case(r: dict) -> np.ndarray:
+    """State of pieces whose kind is plain, else -1; ``r``: raw measures by name, of one piece or of many."""
+    prose = (r["repeat"] < 0.3) & (r["digits"] < 0.15) & (r["odd"] < 0.1) & r["end"]
+    cases = [
+        (r["cells"] >= 2, TABLE),
+        ((r["logs"] >= 2) & (r["clause"] < 0.1), JUNK),
+        ((r["repeat"] > 0.7) & (r["words"] >= 6), JUNK),
+        ((r["odd"] > 0.4) | ((r["letters"] < 0.2) & np.logical_not(r["alike"])), JUNK),
+        (r["tags"] > 0.5, JUNK),
+        (r["key"] | (r["alike"] & (r["fields"] >= 2) & (r["clause"] < 0.08)), TABLE),
+        (r["hash"] >= 2, LIST),
+        ((r["clause"] >= 0.15) & (r["words"] >= 8) & (r["repeat"] < 0.5) & (r["per_unit"] >= 2.5) & (r["digits"] < 0.15), PROSE),
+        # without sentences of few clause words the model would count them to the junk, for want of any like them
+        (prose & (r["clause"] > 0) & (r["clause"] + r["link"] >= 0.25) & (r["words"] >= 6) & (r["per_unit"] >= 2.5), PROSE),
+        (prose & (r["link"] >= 0.25) & (r["words"] >= 8) & (r["units"] <= 2), PROSE),
+        ((r["clause"] == 0) & (r["words"] >= 2) & (r["per_unit"] <= 3.0) & (r["digits"] < 0.25) & (r["mark"] | (r["units"] >= 4)), LIST),
+        ((r["clause"] == 0) & (r["words"] >= 10) & (r["units"] <= 2) & (r["link"] < 0.1), JUNK),
+    ]
+    return np.select([c for c, _ in cases], [v for _, v in cases], -1)
 
 
 #: Cells of the counts: first states, transitions, and state by value of each feature, one after another.
@@ -334,8 +406,8 @@ class LineModel:
 def train(texts: list[str]) -> LineModel:
     """A model from unlabelled texts on the driver, by the same counts as :func:`train_on`; for small samples."""
     letters = Letters.counted(Letters.pairs(texts))
-    found = [(x, [plain_case(r) for r in raw]) for x, _, raw in (features(t, letters) for t in texts)]
-    return LineModel.counted(cells(np.concatenate([x for x, _ in found]), np.array([s for _, ss in found for s in ss], np.int64), np.array([len(x) for x, _ in found])), letters)
+    x, r, lengths = features_of(texts, letters)
+    return LineModel.counted(cells(x, plain_case(r), lengths) if len(x) else np.zeros(_STARTS[-1], np.int64), letters)
 
 
 CELLS = "cell int, n long"
@@ -366,6 +438,18 @@ def letters_of(docs: DataFrame) -> Letters:
     return Letters.counted(_summed(docs.filter(F.col("text").isNotNull()).select("text").mapInPandas(run, CELLS), 28 * 28))
 
 
+def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of documents within both bounds of a batch, or of a single larger document."""
+    first = held = 0
+    for k, size in enumerate(sizes):
+        if k > first and (k - first >= BATCH_DOCS or held + size > BATCH_CHARS):
+            yield first, k
+            first, held = k, 0
+        held += size
+    if len(sizes) > first:
+        yield first, len(sizes)
+
+
 FEATURED = "doc_id long, pieces int, x binary, weight binary, state binary"
 
 
@@ -376,14 +460,14 @@ def featured(docs: DataFrame, letters: Letters) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                x, weight, raw = features(text or "", letters)
-                rows.append((len(x), (x + 1).astype(np.uint8).tobytes(), weight.astype(np.int32).tobytes(), np.array([plain_case(r) for r in raw], np.int8).tobytes()))
-            out = pd.DataFrame(rows, columns=["pieces", "x", "weight", "state"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+        for whole in batches:
+            for lo, hi in _batches([len(t or "") for t in whole["text"]]):
+                pdf = whole.iloc[lo:hi]
+                x, r, lengths = features_of([t or "" for t in pdf["text"]], letters)
+                packed = (x + 1).astype(np.uint8), *((r["solid"].astype(np.int32), plain_case(r).astype(np.int8)) if r else (np.zeros(0, np.int32), np.zeros(0, np.int8)))
+                ends = np.cumsum(lengths)
+                pieces = {name: [v[x:y].tobytes() for x, y in zip(ends - lengths, ends, strict=True)] for name, v in zip(("x", "weight", "state"), packed, strict=True)}
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "pieces": lengths.astype(np.int32), **pieces})
 
     return written(docs.select("doc_id", "text").mapInPandas(run, FEATURED))
 

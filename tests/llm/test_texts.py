@@ -197,6 +197,26 @@ def test_documents_of_a_batch_do_not_meet():
     assert together.tolist() == [v for x in xs for v in model.label(x).tolist()]
 
 
+def test_features_do_not_depend_on_the_batch():
+    odd = ["", " \n ", "İstanbul'da \U0001d518nicode 😋😋 çok güzel!", "x" * 500 + " y", "a\tb\n\n  c - d", "12:01:22 ERR code=4f\r\n#one #two", "Ωραίο μέρος, αλλά ακριβό.", "qx7Rk29LmZ0vB3nW8pTq5Ys1HdJf6GcAeUiXoKzMwVbNlPyQ", "word " * 90 + "\u3000wide"]
+    texts = [*PROSE_TEXTS, *odd, *LISTS, *TABLES, *JUNKS]
+    letters = prose.Letters.counted(prose.Letters.pairs(texts))
+    x, r, lengths = prose.features_of(texts, letters)
+    alone = [prose.features(t, letters) for t in texts]
+    assert lengths.tolist() == [len(a) for a, _, _ in alone] and x.tolist() == [row for a, _, _ in alone for row in a.tolist()]
+    assert prose.plain_case(r).tolist() == [int(prose.plain_case(q)) for _, _, raw in alone for q in raw]
+    assert r["solid"].tolist() == [sum(not c.isspace() for c in p) for t in texts for p, _ in prose.pieces_of(t)]
+    assert all((x[:, j] < size).all() for j, size in enumerate(prose.SIZES)) and x.min() >= -1
+    assert prose.features_of(["", " "], letters)[0].shape == (0, len(prose.SIZES))
+
+
+def test_batches_are_bounded(monkeypatch):
+    monkeypatch.setattr(prose, "BATCH_DOCS", 3)
+    monkeypatch.setattr(prose, "BATCH_CHARS", 10)
+    assert list(prose._batches([1, 1, 1, 1, 50, 2, 9, 1])) == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 8)]
+    assert list(prose._batches([])) == []
+
+
 def test_the_model_labels_and_no_rule_overrules_it():
     model = prose.train(PROSE_TEXTS * 5 + LISTS + TABLES + JUNKS)
     everything = [*PROSE_TEXTS, *LISTS, *TABLES, *JUNKS, "\n".join([SENTENCES[0], LISTS[0], JUNKS[3]])]
