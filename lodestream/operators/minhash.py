@@ -9,11 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.operators.prefix import prefix_sums
+from lodestream.operators.skew import salted_join
 
 #: Prime of the hash family (a fixed value); coefficients are below it.
 PRIME = 16_777_619
 #: Signature length, bands and rows a band (fixed values).
 HASHES, BANDS, ROWS = 50, 25, 2
+#: Sets of one bucket beyond which it is dealt to several tasks.
+HOT_BUCKET = 1_000
 
 
 def hash_parameters(n: int = HASHES) -> list[tuple[int, int]]:
@@ -44,11 +47,15 @@ def signatures(members: DataFrame, params: Sequence[tuple[int, int]] | None = No
 
 
 def band_pairs(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Distinct (a, b), a < b, that agree in all rows of some band."""
+    """Distinct (a, b), a < b, that agree in all rows of some band.
+
+    A bucket of more than ``HOT_BUCKET`` sets is dealt to several tasks; its pairs are candidates all the same.
+    """
     cut = F.array(*[F.struct(F.lit(i).alias("band"), F.slice("sig", i * rows + 1, rows).alias("part")) for i in range(bands)])
     keyed = sigs.select("s", F.explode(cut).alias("k")).select("s", "k.*")
-    other = keyed.withColumnRenamed("s", "b")
-    return keyed.withColumnRenamed("s", "a").join(other, ["band", "part"]).filter("a < b").select("a", "b").distinct()
+    keyed = keyed.select("s", F.xxhash64("band", "part").alias("key"))
+    left, right = keyed.withColumnRenamed("s", "a"), keyed.withColumnRenamed("s", "b")
+    return salted_join(left, right, ["key"], F.xxhash64("a"), threshold=HOT_BUCKET).filter("a < b").select("a", "b").distinct()
 
 
 def jaccard(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -68,16 +68,22 @@ def compress(df: DataFrame, keys: Sequence[str], value: str | Column, name: str
     return df.groupBy(*keys, v.alias(name)).agg(F.count("*").alias(weight))
 
 
-def weighted_summary(weighted: DataFrame, keys: Sequence[str], name: str = "value", weight: str = "weight", percentiles: Sequence[float] = (0.5,)) -> DataFrame:
+def weighted_summary(weighted: DataFrame, keys: Sequence[str], name: str = "value", weight: str = "weight", percentiles: Sequence[float] = (0.5,), most: int = 100_000) -> DataFrame:
     """Per key, from weighted values: rows, distinct values, sum, mode and exact percentiles.
 
-    The values of one key are combined into a map of value to weight; its size is the number of *different* values,
-    so this is for values of small domain (ratings, categories). For ids use :func:`distinct_per_key`. Null values
+    The values of one key are combined into a list of value and weight; its size is the number of *different* values,
+    so this is for values of small domain (ratings, categories), and a key with more than ``most`` of them is an error.
+    For ids use :func:`distinct_per_key`. Null values
     count in ``rows`` only. Ties of the mode go to the smallest value. A percentile q is the smallest value whose
     cumulative weight reaches q times the total. Keys without any value get nulls.
     """
     v, w = F.col(name), F.col(weight)
     some = v.isNotNull()
+    # counted first, so that too many values are found before they are put into one list
+    weighted = weighted if is_written(weighted) else written(weighted)
+    few = weighted.groupBy(*keys).agg(F.count(v).alias("_k")).filter(F.col("_k") > most).limit(1).count() == 0
+    if not few:
+        raise ValueError(f"a key has more than {most} different values of {name}; summaries of lists are for small domains")
     entries = F.array_sort(F.collect_list(F.when(some, F.struct(v.alias("v"), w.alias("w")))))
     out = weighted.groupBy(*keys).agg(
         F.sum(w).alias("rows"),

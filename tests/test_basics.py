@@ -40,6 +40,13 @@ def test_compress_and_summary(spark):
     assert weighted_summary(w.limit(0), ["k"]).count() == 0
 
 
+def test_a_summary_refuses_large_domains(spark):
+    w = compress(spark.range(30).selectExpr("'a' as k", "id as v"), ["k"], "v")
+    assert weighted_summary(w, ["k"], most=30).first()["distinct_values"] == 30
+    with pytest.raises(ValueError, match="different values"):
+        weighted_summary(w, ["k"], most=29)
+
+
 def test_distinct_per_key(spark, rows):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None), (None, "z")], "k string, v string")
     assert rows(distinct_per_key(df, ["k"], "v", "n")) == [("a", 2), (None, 1)]
