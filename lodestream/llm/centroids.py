@@ -31,6 +31,8 @@ GRIDS, WIDTH, BANDS = 24, 8.0, 36
 LEAST_JACCARD = 0.1
 #: Banded rows per group of the linking step; members up to which a group is split in one pass with exact degrees.
 GROUP_ROWS, SMALL_GROUP = 50_000, 2_000
+#: Pairs compared at once.
+BLOCK_PAIRS = 200_000
 SEED = 20_160_104
 
 
@@ -66,12 +68,19 @@ def cell_sets(x: np.ndarray, radius: float) -> np.ndarray:
     return out
 
 
-def band_keys(sets: np.ndarray) -> np.ndarray:
-    """Band by band the key of each set: its MinHash value under that band's hash, [point, band]."""
-    out = np.empty((len(sets), BANDS), np.uint64)
+def bands(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band by band the key of each set, its MinHash value under that band's hash, and the grid of the cell that has it."""
+    keys, grids, rows = np.empty((len(sets), BANDS), np.uint64), np.empty((len(sets), BANDS), np.uint8), np.arange(len(sets))
     for b in range(BANDS):
-        out[:, b] = _mixed(_mixed(sets + np.uint64((b + 1) * 0xD6E8FEB86659FD93 % (1 << 64))).min(axis=1) + np.uint64(b))
-    return out
+        h = _mixed(sets + np.uint64((b + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
+        grids[:, b] = least = h.argmin(axis=1)
+        keys[:, b] = _mixed(h[rows, least] + np.uint64(b))
+    return keys, grids
+
+
+def band_keys(sets: np.ndarray) -> np.ndarray:
+    """Band by band the key of each set, [point, band]."""
+    return bands(sets)[0]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,42 +115,70 @@ def _banded(radius: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                keys = band_keys(cell_sets(np.stack(pdf["rep"].to_numpy()), radius)).astype(np.int64)
-                yield pd.DataFrame({"lead": pdf["lead"], "rep": pdf["rep"], "keys": list(keys)})
+                keys, grids = bands(cell_sets(np.stack(pdf["rep"].to_numpy()), radius))
+                yield pd.DataFrame({"lead": pdf["lead"], "rep": pdf["rep"], "keys": list(keys.astype(np.int64)), "grids": [g.tobytes() for g in grids]})
 
     return run
 
 
-def _star_links(radius: float):
+def _pairs(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j < end[i] in blocks of about ``BLOCK_PAIRS``."""
+    count = end - np.arange(len(end)) - 1
+    total, lo = np.cumsum(count), 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - count[lo] + BLOCK_PAIRS, "right")))
+        i = np.repeat(np.arange(lo, hi), count[lo:hi])
+        yield i, np.arange(len(i)) - np.repeat(total[lo:hi] - count[lo:hi] - total[lo] + count[lo], count[lo:hi]) + i + 1
+        lo = hi
+
+
+def _met(sets: np.ndarray, grids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sets share the key of one of the bands of ``grids``: they do if its cell is of one grid and the same."""
+    same = grids[i] == grids[j]
+    grid = grids[i, same.argmax(axis=1)]  # most pairs are settled by the first band of one grid
+    met = same.any(axis=1) & (sets[i, grid] == sets[j, grid])
+    rest = np.flatnonzero(~met)
+    i, j = i[rest], j[rest]
+    met[rest] = (same[rest] & np.take_along_axis(sets[i] == sets[j], grids[i].astype(np.intp), axis=1)).any(axis=1)
+    return met
+
+
+def _near_pairs(radius: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links every row to the first row of its band that is similar and near enough; all bands of the group at once."""
-        pdf = pdf.sort_values(["key", "lead"], kind="stable")
-        key, lead, x = pdf["key"].to_numpy(), pdf["lead"].to_numpy(), np.stack(pdf["rep"].to_numpy()) if len(pdf) else np.empty((0, 1))
-        sets = cell_sets(x, radius) if len(pdf) else np.empty((0, GRIDS), np.uint64)
-        left, src, dst = np.arange(len(pdf)), [], []
-        while len(left):
-            start = np.r_[True, key[left][1:] != key[left][:-1]]
-            head = left[np.flatnonzero(start)[np.cumsum(start) - 1]]
-            near = (jaccard(sets[left], sets[head]) >= LEAST_JACCARD) & (((x[left] - x[head]) ** 2).sum(axis=1) <= radius * radius)
-            link = near & (left != head)
-            src.append(lead[left[link]])
-            dst.append(lead[head[link]])
-            left = left[~near]
-        return pd.DataFrame({"src": np.concatenate(src) if src else np.empty(0, int), "dst": np.concatenate(dst) if dst else np.empty(0, int)})
+        """Every pair of a band that is similar and near enough, unless the two share the key of an earlier band."""
+        pdf = pdf[pdf.duplicated(["band", "key"], keep=False)].sort_values(["band", "key", "lead"], kind="stable")
+        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(pdf):
+            all_x = np.stack(pdf["rep"].to_numpy())
+            all_sets, band, edges = cell_sets(all_x, radius), pdf["band"].to_numpy(), np.arange(BANDS + 1)
+            for b, lo, hi in zip(edges[:-1], *np.searchsorted(band, [edges[:-1], edges[1:]]), strict=True):
+                lead, key, x, sets = pdf["lead"].to_numpy()[lo:hi], pdf["key"].to_numpy()[lo:hi], all_x[lo:hi], all_sets[lo:hi]
+                grids = np.frombuffer(b"".join(pdf["earlier"].iloc[lo:hi]), np.uint8).reshape(hi - lo, b)
+                for i, j in _pairs(np.searchsorted(key, key, "right")):
+                    if b:
+                        new = ~_met(sets, grids, i, j)
+                        i, j = i[new], j[new]
+                    near = ((x[i] - x[j]) ** 2).sum(axis=1) <= radius * radius
+                    i, j = i[near], j[near]
+                    similar = jaccard(sets[i], sets[j]) >= LEAST_JACCARD
+                    src.append(lead[j[similar]])
+                    dst.append(lead[i[similar]])
+        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
 
     return run
 
 
 def links(cells: DataFrame, radius: float, n_cells: int) -> DataFrame:
-    """Distinct verified links (src, dst) between cells' leads.
+    """Verified links (src, dst), src > dst, between cells' leads: every candidate pair that is similar and within the radius.
 
-    The candidates of every band are cut into stars: the smallest lead takes all that are similar and within the radius,
-    the smallest of the rest takes its own, and so on. This lists one link a row instead of all pairs of a band. A group
-    of rows in one task holds whole bands' keys and about ``GROUP_ROWS`` rows.
+    A pair that shares several bands is listed by the first of them, so none is listed twice: a row of a band carries the
+    grids its keys of the earlier bands are from. A group of rows in one task holds whole bands' keys and about
+    ``GROUP_ROWS`` rows, its pairs are compared in blocks.
     """
-    keyed = cells.select("lead", "rep").mapInPandas(_banded(radius), "lead long, rep array<double>, keys array<long>").select("lead", "rep", F.explode("keys").alias("key"))
+    keyed = cells.select("lead", "rep").mapInPandas(_banded(radius), "lead long, rep array<double>, keys array<long>, grids binary")
+    keyed = keyed.select("lead", "rep", "grids", F.posexplode("keys").alias("band", "key")).withColumn("earlier", F.expr("substring(grids, 1, band)")).drop("grids")
     groups = max(1, math.ceil(n_cells * BANDS / GROUP_ROWS))
-    return keyed.withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g").applyInPandas(_star_links(radius), "src long, dst long").distinct()
+    return keyed.withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g").applyInPandas(_near_pairs(radius), "src long, dst long")
 
 
 def _split_small(radius: float):
@@ -172,9 +209,10 @@ def split_loose(members: DataFrame, found: DataFrame, radius: float) -> DataFram
 
     ``members``: lead, rep, component; ``found``: the links. The medoid of a group is its lead of highest degree (ties:
     smallest); members within the radius stay with it, the others form a group of their own and are treated again, until
-    none is left. Components of at most ``SMALL_GROUP`` leads are done in one grouped pass with exact degrees. Larger
-    ones go through rounds, one medoid a component each, with the links of a lead in either direction as its degree; a
-    round takes all that is within the radius, so a group as it should be takes one.
+    none is left. Components of at most ``SMALL_GROUP`` leads are done in one grouped pass, which counts their degrees
+    itself. Larger ones go through rounds, one medoid a component each, with the links of a lead in either direction as
+    its degree, so these must be all links; a round takes all that is within the radius, so a group as it should be takes
+    one.
     """
     sizes = written(members.groupBy("component").agg(F.count("*").alias("_k")))
     sized = members.join(sizes, "component")
@@ -200,8 +238,8 @@ def cluster_records(df: DataFrame, radius: float, dims: int = 8) -> DataFrame:
     """stat_id, n, centroid, lead_id of all valid records; lead_id is the smallest stat_id of the record's cluster.
 
     Where "within the radius" is transitive, clusters are its classes up to the banding's recall (``band_recall``: above
-    0.999999 per pair at the radius itself, and more links than one lead to a group). Where it is not, linked groups
-    are split so that every fine cell's lead lies within the radius of its cluster's medoid.
+    0.999999 per pair at the radius itself, and more links than one lead to a group). Where it is not, components of all
+    links between leads are split so that every fine cell's lead lies within the radius of its cluster's medoid.
     """
     records = written(valid_records(df, dims))
     placed, cells = fine_cells(records, radius, dims)

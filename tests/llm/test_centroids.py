@@ -86,6 +86,58 @@ def test_large_groups_are_split_alike(spark, monkeypatch):
         assert all(abs(k - lead) <= 2 for k, lead in got.items())
 
 
+def loose(seed, most, n=250):
+    """Points that are near each other without any classes, in three dimensions."""
+    x = np.random.default_rng(seed).uniform(0, most, (n, 8)) * np.r_[1, 1, 1, 0, 0, 0, 0, 0]
+    return list(enumerate(x, 1))
+
+
+def near(x, radius=6.0):
+    return ((x[:, None] - x[None]) ** 2).sum(axis=2) <= radius * radius
+
+
+def test_links_are_all_near_pairs(spark, monkeypatch):
+    monkeypatch.setattr(C, "GROUP_ROWS", 3_000)  # several groups, and several blocks in each
+    monkeypatch.setattr(C, "BLOCK_PAIRS", 50, raising=False)
+    for most in (10, 25, 100):
+        pts = loose(most, most)
+        cells = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in pts], "lead long, rep array<double>")
+        got = [tuple(r) for r in C.links(cells, 6.0, len(pts)).collect()]
+        want = {(i + 1, j + 1) for i, j in np.argwhere(near(np.stack([p for _, p in pts]))).tolist() if i > j}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def by_brute_force(pts, radius=6.0):
+    """Components of the fine cells' leads, split around the medoids of most neighbours."""
+    cell = {i: tuple(np.floor(p / (radius / np.sqrt(8) * (1 - 1e-9)))) for i, p in pts}
+    lead = {}
+    for i in sorted(cell):
+        lead.setdefault(cell[i], i)
+    ids, at = sorted(lead.values()), dict(pts)
+    close = near(np.stack([at[i] for i in ids]), radius)
+    reach = np.linalg.matrix_power(close.astype(float), 2) > 0
+    while ((further := reach.astype(float) @ reach > 0) != reach).any():
+        reach = further
+    name, rest = {}, set(range(len(ids)))
+    while rest:
+        component = rest & set(np.flatnonzero(reach[min(rest)]).tolist())
+        medoid = max(component, key=lambda k: (close[k].sum(), -k))
+        mine = {k for k in component if close[medoid, k]}
+        name |= dict.fromkeys((ids[k] for k in mine), ids[min(mine)])
+        rest -= mine
+    return {i: name[lead[c]] for i, c in cell.items()}
+
+
+def test_loose_groups_go_by_all_links(spark, monkeypatch):
+    for seed, most, n in ((1, 15, 250), (2, 40, 120)):
+        pts = loose(seed, most, n)
+        want = by_brute_force(pts)
+        assert len(set(want.values())) > 5
+        for small in (2_000, 1):
+            monkeypatch.setattr(C, "SMALL_GROUP", small)
+            assert clusters(spark, stats(spark, pts)) == want
+
+
 def test_sets_of_cells_stand_for_distance():
     rng = np.random.default_rng(2)
     a = rng.uniform(-100, 100, (4_000, 8))
