@@ -3,7 +3,7 @@
 The two-pass partition scheme of the classic algorithm serves to bound local memory; its result is exactly the frequent
 itemsets. Here each level is a distributed join and count, so there is no local pass to bound: level k joins the
 frequent (k-1)-sets that share all but their last item, prunes those with an infrequent subset, and counts the rest in
-the baskets of the sets they extend.
+the baskets of their rarest subset of k-1.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.operators.pairs import basket_pairs, pair_counts
+from lodestream.operators.pairs import basket_pairs, in_enough_baskets, pair_counts, sorted_numbers
+from lodestream.operators.skew import broadcast_if_small
 from lodestream.operators.sketches import text_modulo
 from lodestream.scratch import forget, is_written, written
 
@@ -21,11 +22,16 @@ from lodestream.scratch import forget, is_written, written
 BUCKETS = 1_000
 
 
-def baskets(df: DataFrame, basket: str, item: str, larger_than: int = 0) -> DataFrame:
-    """Distinct (s, i) with both present, of baskets with strictly more than ``larger_than`` different items."""
-    rows = df.select(F.col(basket).alias("s"), F.col(item).alias("i")).filter("s is not null and i is not null").distinct()
+def baskets(df: DataFrame, basket: str, item: str, larger_than: int = 0, support: int = 1) -> DataFrame:
+    """Distinct (s, i) with both present, of baskets with strictly more than ``larger_than`` different items.
+
+    ``support``: items in fewer rows, which are in fewer baskets too, may be left out before the rows are made distinct;
+    with ``larger_than`` they are kept, as they count for the size of a basket.
+    """
+    rows = df.select(F.col(basket).alias("s"), F.col(item).alias("i")).filter("s is not null and i is not null")
     if larger_than < 1:
-        return rows
+        return in_enough_baskets(rows, support).distinct()
+    rows = rows.distinct()
     big = rows.groupBy("s").agg(F.count("*").alias("k")).filter(F.col("k") > larger_than).select("s")
     return rows.join(big, "s", "left_semi")
 
@@ -62,16 +68,17 @@ def pcy_pairs(rows: DataFrame, support: int, buckets: int = BUCKETS) -> DataFram
 
 
 def candidates(level: DataFrame, k: int) -> DataFrame:
-    """Sorted k-sets all of whose (k-1)-subsets are in ``level`` (id, items: sorted arrays of k-1).
+    """Sorted k-sets all of whose (k-1)-subsets are in ``level`` (id, items: sorted arrays of k-1, support).
 
-    Columns items, parent (id of the set without its last item), last.
+    Columns items, parent (id of the subset of least support), last (the item that one lacks).
     """
-    left = level.select(F.col("id").alias("parent"), F.slice("items", 1, k - 2).alias("prefix"), F.element_at("items", -1).alias("x"))
+    left = level.select(F.slice("items", 1, k - 2).alias("prefix"), F.element_at("items", -1).alias("x"))
     right = left.select("prefix", F.col("x").alias("last"))
-    joined = left.join(right, "prefix").filter("x < last").select(F.concat("prefix", F.array("x", "last")).alias("items"), "parent", "last")
-    subsets = joined.select("items", F.posexplode("items").alias("drop", "_item")).select("items", F.filter("items", lambda x, i: i != F.col("drop")).alias("sub"))
-    have = subsets.join(level.select(F.col("items").alias("sub")), "sub", "left_semi")
-    return joined.join(have.groupBy("items").agg(F.count("*").alias("_n")).filter(F.col("_n") == k).select("items"), "items")
+    joined = left.join(right, "prefix").filter("x < last").select(F.concat("prefix", F.array("x", "last")).alias("items"))
+    subsets = joined.select("items", F.posexplode("items").alias("drop", "last")).select("items", "last", F.filter("items", lambda x, i: i != F.col("drop")).alias("sub"))
+    have = subsets.join(level.select(F.col("items").alias("sub"), "id", "support"), "sub")
+    best = have.groupBy("items").agg(F.count("*").alias("_n"), F.min(F.struct("support", "id", "last")).alias("_m"))
+    return best.filter(F.col("_n") == k).select("items", F.col("_m.id").alias("parent"), F.col("_m.last").alias("last"))
 
 
 def tried_sets(found: DataFrame) -> DataFrame:
@@ -82,7 +89,7 @@ def tried_sets(found: DataFrame) -> DataFrame:
     out = found.filter(F.size("items") == 1).select("items")
     k = 2
     while True:
-        level = _numbered(found.filter(F.size("items") == k - 1).select("items"))
+        level = _numbered(found.filter(F.size("items") == k - 1).select("items", F.lit(0).alias("support")))
         if level.isEmpty():
             return out
         out = out.unionByName(candidates(level, k).select("items"))
@@ -93,23 +100,46 @@ def _numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("id", F.monotonically_increasing_id()))
 
 
+def _named(level: DataFrame, items: DataFrame) -> DataFrame:
+    """items, support of sets of numbers, with the items themselves."""
+    parts = level.select("id", "support", F.posexplode("items").alias("_p", "x")).join(items.select("x", "i"), "x")
+    return parts.groupBy("id", "support").agg(F.array_sort(F.collect_list(F.struct("_p", "i"))).alias("_l")).select(F.col("_l.i").alias("items"), "support")
+
+
+def pair_ends(level: DataFrame, sizes: DataFrame) -> DataFrame:
+    """id, i, last of each pair of ``level`` (id, items): its rarer item and the other one. ``sizes``: i, n."""
+    a, b = F.col("items")[0], F.col("items")[1]
+    both = level.select("id", a.alias("a"), b.alias("b")).join(sizes.select(F.col("i").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b")
+    first = F.col("na") <= F.col("nb")
+    return both.select("id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("i"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("last"))
+
+
+def pair_baskets(ends: DataFrame, kept: DataFrame) -> DataFrame:
+    """id, s: the baskets of each pair, looked up from those of its rarer item."""
+    return ends.join(kept, "i").select("id", "last", "s").join(kept.withColumnRenamed("i", "last"), ["s", "last"]).select("id", "s")
+
+
 def frequent_itemsets(rows: DataFrame, support: int, most: int | None = None) -> DataFrame:
     """items (sorted array), support of every itemset in at least ``support`` baskets, up to ``most`` items.
 
-    ``rows``: distinct (s, i). Pairs are counted with :func:`lodestream.operators.pairs.pair_counts`, which does not
-    list the pairs of very wide baskets. From then on each level keeps where its sets occur: a candidate is looked for
-    only in the baskets of the set it extends. Empty input gives no rows.
+    ``rows``: distinct (s, i). Frequent items are numbered in their order, and sets are of numbers until the end. Pairs
+    are counted with :func:`lodestream.operators.pairs.pair_counts`, which does not list the pairs of very wide baskets.
+    From then on each level keeps where its sets occur: a candidate is looked for only in the baskets of its rarest
+    subset. Empty input gives no rows.
     """
-    rows = rows if is_written(rows) else written(rows)
-    kept = written(rows.join(frequent_items(rows, support).select(F.col("items")[0].alias("i")), "i", "left_semi").select("s", "i"))
-    levels = [frequent_items(kept, support)]
+    own = not is_written(rows)
+    rows = written(rows) if own else rows
+    items = sorted_numbers(rows.groupBy("i").agg(F.count("*").alias("support")).filter(F.col("support") >= support))
+    levels = [items.select(F.array("i").alias("items"), "support")]
     if most == 1:
         return levels[0]
+    kept = written(rows.join(broadcast_if_small(items.select("i", "x")), "i").select("s", F.col("x").alias("i")))
+    forget(rows if own else None)
     level = _numbered(pair_counts(kept, support).select(F.array("a", "b").alias("items"), F.col("common").alias("support")))
     found: DataFrame | None = None  # id, s: where the sets of the level occur
     k = 2
     while not level.isEmpty():
-        levels.append(level.select("items", "support"))
+        levels.append(_named(level, items))
         k += 1
         if most is not None and k > most:
             break
@@ -117,8 +147,8 @@ def frequent_itemsets(rows: DataFrame, support: int, most: int | None = None) ->
         if cands.isEmpty():
             break
         if found is None:
-            first = level.select("id", F.col("items")[0].alias("i"), F.col("items")[1].alias("last")).join(kept, "i").select("id", "last", "s")
-            found = written(first.join(kept.withColumnRenamed("i", "last"), ["s", "last"]).select("id", "s"))
+            parents = level.join(cands.select(F.col("parent").alias("id")), "id", "left_semi")
+            found = written(pair_baskets(pair_ends(parents, items.select(F.col("x").alias("i"), F.col("support").alias("n"))), kept))
         tried = cands.select("id", F.col("parent"), "last").join(found.select(F.col("id").alias("parent"), "s"), "parent").select("id", "last", "s")
         past, hits = found, written(tried.join(kept.withColumnRenamed("i", "last"), ["s", "last"]).select("id", "s"))
         counted = hits.groupBy("id").agg(F.count("*").alias("support")).filter(F.col("support") >= support)

@@ -159,3 +159,17 @@ def brute_pairs(sets):
         for c in itertools.combinations(sorted(s), 2):
             out[c] = out.get(c, 0) + 1
     return out
+
+
+def test_a_candidate_is_looked_for_in_its_rarest_subset(spark):
+    level = spark.createDataFrame([(1, ["a", "b"], 100), (2, ["a", "c"], 3), (3, ["b", "c"], 5), (4, ["b", "d"], 9)], "id long, items array<string>, support long")
+    assert [tuple(r) for r in I.candidates(level, 3).select("items", "parent", "last").collect()] == [(["a", "b", "c"], 2, "b")]
+
+
+def test_pairs_of_a_frequent_item_are_looked_up_from_the_rare_one(spark):
+    kept = spark.createDataFrame([(f"s{k}", 1) for k in range(50)] + [("s3", 2), ("s4", 2), ("x", 2)], "s string, i long")
+    level = spark.createDataFrame([(7, [1, 2])], "id long, items array<long>")
+    sizes = spark.createDataFrame([(1, 50), (2, 3)], "i long, n long")
+    ends = I.pair_ends(level, sizes)
+    assert [tuple(r) for r in ends.collect()] == [(7, 2, 1)]
+    assert sorted(tuple(r) for r in I.pair_baskets(ends, kept).collect()) == [(7, "s3"), (7, "s4")]
