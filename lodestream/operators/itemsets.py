@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.operators.pairs import basket_pairs, in_enough_baskets, pair_counts, sorted_numbers
@@ -41,15 +42,40 @@ def frequent_items(rows: DataFrame, support: int) -> DataFrame:
     return rows.groupBy("i").agg(F.count("*").alias("support")).filter(F.col("support") >= support).select(F.array("i").alias("items"), "support")
 
 
-def bucket(a: str, b: str, buckets: int = BUCKETS) -> Column:
-    """The bucket of a pair: the xor of both items' numbers. An item that is no whole number goes by its bytes' number."""
-    number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), text_modulo(c))
-    return F.pmod(number(a).bitwiseXOR(number(b)), F.lit(buckets))
+#: Different items up to which a basket is counted as a bit mask.
+BITS = 62
+
+
+def item_number(item: str) -> Column:
+    """The number of an item. One that is no whole number goes by its bytes' number."""
+    return F.coalesce(F.col(item).try_cast("bigint"), text_modulo(item))
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """a, b, bucket, n: pairs a < b of the baskets, the xor of both items' numbers as bucket, in how many baskets.
+
+    A pair may come several times. ``rows``: (s, i), written; a row may be repeated. The number of each different item is
+    made once. With at most ``BITS`` items a basket is a mask, and baskets of the same items are one from then on.
+    """
+    items = written(rows.select("i").distinct().withColumn("h", item_number("i")))
+    if items.limit(BITS + 1).count() <= BITS:
+        places = F.broadcast(written(items.select("i", "h", (F.row_number().over(W.partitionBy().orderBy("i")) - 1).alias("p"))))
+        masks = rows.join(places, "i").groupBy("s").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p"))).alias("m"))
+        sets = written(masks.groupBy("m").agg(F.count("*").alias("n")))
+        held = sets.select("m", "n", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("p")).filter(F.call_function("shiftright", F.col("m"), F.col("p")).bitwiseAND(F.lit(1)) == 1).join(places, "p")
+        a, b = held.select("m", "n", F.col("i").alias("a"), F.col("h").alias("ha")), held.select("m", F.col("i").alias("b"), F.col("h").alias("hb"))
+        pairs = a.join(b, "m").filter("a < b").groupBy("a", "b", "ha", "hb").agg(F.sum("n").alias("n"))
+    else:
+        known = broadcast_if_small(items)
+        pairs = basket_pairs(rows.distinct()).withColumn("n", F.lit(1).cast("bigint"))
+        for c in ("a", "b"):
+            pairs = pairs.join(known.select(F.col("i").alias(c), F.col("h").alias(f"h{c}")), c)
+    return pairs.select("a", "b", F.pmod(F.col("ha").bitwiseXOR(F.col("hb")), F.lit(buckets)).alias("bucket"), "n")
 
 
 def bucket_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, n: how many pairs of each basket fall into each hash bucket."""
-    return basket_pairs(rows).groupBy(bucket("a", "b", buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    return _bucketed(rows if is_written(rows) else written(rows), buckets).groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def pcy_pairs(rows: DataFrame, support: int, buckets: int = BUCKETS) -> DataFrame:
@@ -57,13 +83,13 @@ def pcy_pairs(rows: DataFrame, support: int, buckets: int = BUCKETS) -> DataFram
 
     The first counts items and buckets; the second counts only pairs of frequent items in buckets that hold at least
     ``support`` pairs, which no frequent pair's bucket can miss. The list of such buckets is at most ``buckets`` long and
-    broadcast. Worth it where the buckets are many against the pairs, so that few of them are full.
+    broadcast. Worth it where the buckets are many against the pairs, so that few of them are full. ``rows``: (s, i), a
+    row may be repeated; items in fewer rows than the support are in fewer baskets too.
     """
     rows = rows if is_written(rows) else written(rows)
     full = F.broadcast(bucket_counts(rows, buckets).filter(F.col("n") >= support).select("bucket"))
-    kept = rows.join(frequent_items(rows, support).select(F.col("items")[0].alias("i")), "i", "left_semi").select("s", "i")
-    tried = basket_pairs(written(kept)).withColumn("bucket", bucket("a", "b", buckets)).join(full, "bucket", "left_semi")
-    counted = tried.groupBy("a", "b").agg(F.count("*").alias("support")).filter(F.col("support") >= support)
+    tried = _bucketed(written(in_enough_baskets(rows, support)), buckets).join(full, "bucket", "left_semi")
+    counted = tried.groupBy("a", "b").agg(F.sum("n").alias("support")).filter(F.col("support") >= support)
     return counted.select(F.array("a", "b").alias("items"), "support")
 
 

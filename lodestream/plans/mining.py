@@ -55,9 +55,14 @@ def _by_user(spark: SparkSession, d: str) -> DataFrame:
     return I.baskets(V.mentions(spark, d), "user_id", "business_id", support=BY_USER)
 
 
-def _by_order(spark: SparkSession, d: str) -> DataFrame:
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Orders (s) and brands (i) of the lines, as often as they occur."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return I.baskets(lines, "l_orderkey", "p_brand")
+    return lines.select(F.col("l_orderkey").alias("s"), F.col("p_brand").alias("i")).filter("s is not null and i is not null")
+
+
+def _by_order(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).distinct()
 
 
 @R.query(with_views(f"select business_id as items, count(*) as support from pairs group by 1 having count(*) >= {BY_USER}", "pairs"))
@@ -119,13 +124,13 @@ _NUMBER = "coalesce(try_cast(i as bigint), " + bytes_modulo_sql("i") + ")"
 select xor(p.x, q.x) % {I.BUCKETS} as bucket, count(*) as n from r p join r q on p.s = q.s and p.i < q.i group by 1""")
 def pcy_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pairs per hash bucket over the brands of an order."""
-    return I.bucket_counts(_by_order(spark, d))
+    return I.bucket_counts(_lines(spark, d))
 
 
 @R.query(f"with f as ({_levels_sql(_ROWS_ORDER, BY_ORDER, 2)}) select items, support from f where size = 2")
 def pcy_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Frequent pairs of brands by the two passes with the bucket filter."""
-    return I.pcy_pairs(_by_order(spark, d), BY_ORDER).select(F.array_join("items", "|").alias("items"), "support")
+    return I.pcy_pairs(_lines(spark, d), BY_ORDER).select(F.array_join("items", "|").alias("items"), "support")
 
 
 def _sections_sql(rows: str, support: int, k: int) -> str:

@@ -173,3 +173,12 @@ def test_pairs_of_a_frequent_item_are_looked_up_from_the_rare_one(spark):
     ends = I.pair_ends(level, sizes)
     assert [tuple(r) for r in ends.collect()] == [(7, 2, 1)]
     assert sorted(tuple(r) for r in I.pair_baskets(ends, kept).collect()) == [(7, "s3"), (7, "s4")]
+
+
+def test_repeated_rows_and_many_items_in_the_bucket_filter(spark):
+    """Baskets as masks and, with more items than bits, as listed pairs; a row that comes twice counts once."""
+    rnd = random.Random(8)
+    for kinds in (12, 90):
+        sets = [set(rnd.sample([f"i{k}" for k in range(kinds)], 5)) for _ in range(60)] + [{"i1", "i2", "7"}] * 4
+        rows = baskets(spark, sets)
+        assert found(I.pcy_pairs(rows.unionByName(rows), 4)) == {c: n for c, n in brute_pairs(sets).items() if n >= 4}
