@@ -71,16 +71,29 @@ def trailing_zeros(col: Column) -> Column:
     return F.when(col == 0, 0).otherwise(F.length(F.bin(col)) - F.length(F.rtrim(F.bin(col), F.lit("0"))))
 
 
+def fm_hashes(x: str) -> tuple[list[Column], list[Column]]:
+    """(aggregates, registers r0..r15 made of them): the most trailing zeros of each hash of the number ``x``.
+
+    The lowest bit that is on grows with the zeros behind it, so a group's largest is kept, and its zeros are counted
+    once a group instead of once a row. A hash of 0 has none, as a hash of 1.
+    """
+    aggregates, registers = [], []
+    for k, (a, b) in enumerate(zip(FM_A, FM_B, strict=True)):
+        h = (F.lit(a).cast("bigint") * F.col(x) + F.lit(b)) % F.lit(PRIME)
+        aggregates.append(F.max(F.when(h == 0, F.lit(1).cast("bigint")).otherwise(h.bitwiseAND(-h))).alias(f"_low{k}"))
+        registers.append(trailing_zeros(F.col(f"_low{k}")).alias(f"r{k}"))
+    return aggregates, registers
+
+
 def fm_estimates(stream: DataFrame, size: int) -> DataFrame:
     """batch, truth, estimate: exact and Flajolet-Martin distinct users of each batch.
 
     Each of 16 hashes gives 2 to the most trailing zeros in the batch; the estimate is the median of the means of the
     groups of four, cut to a whole number.
     """
-    x = F.col("_x")
-    hashes = [F.max(trailing_zeros((F.lit(a).cast("bigint") * x + F.lit(b)) % F.lit(PRIME))).alias(f"r{k}") for k, (a, b) in enumerate(zip(FM_A, FM_B, strict=True))]
+    hashes, registers = fm_hashes("_x")
     different = batches(stream, size).select("batch", "user_id").distinct().withColumn("_x", text_modulo("user_id"))
-    per = different.groupBy("batch").agg(F.count("*").alias("truth"), *hashes)
+    per = different.groupBy("batch").agg(F.count("*").alias("truth"), *hashes).select("batch", "truth", *registers)
     means = [sum((F.pow(F.lit(2.0), F.col(f"r{k}")) for k in range(g, g + FM_GROUP)), F.lit(0.0)) / FM_GROUP for g in range(0, len(FM_A), FM_GROUP)]
     ordered = F.array_sort(F.array(*means))
     return per.select("batch", "truth", F.floor((ordered[1] + ordered[2]) / 2).alias("estimate"))

@@ -19,9 +19,8 @@ from lodestream.scratch import remove
 
 def fm_registers(stream: DataFrame, size: int) -> DataFrame:
     """batch, r0..r15: the most trailing zeros of each hash, as a streaming aggregate (update or complete mode)."""
-    x = F.col("_x")
-    hashes = [F.max(S.trailing_zeros((F.lit(a).cast("bigint") * x + F.lit(b)) % F.lit(S.PRIME))).alias(f"r{k}") for k, (a, b) in enumerate(zip(S.FM_A, S.FM_B, strict=True))]
-    return S.batches(stream, size).withColumn("_x", S.text_modulo("user_id")).groupBy("batch").agg(*hashes)
+    hashes, registers = S.fm_hashes("_x")
+    return S.batches(stream, size).withColumn("_x", S.text_modulo("user_id")).groupBy("batch").agg(*hashes).select("batch", *registers)
 
 
 def fm_estimate(registers: DataFrame) -> DataFrame:

@@ -93,3 +93,11 @@ def test_ask_draws_with_replacement(spark):
     assert sorted(got) == list(range(1, 201)) and set(got.values()) == {f"u{k}" for k in range(1, 11)}
     assert got == {r["draw"]: r["user_id"] for r in S.ask(stream, 200).collect()}
     assert S.ask(stream.limit(0), 5).count() == 0
+
+
+def test_registers_count_zeros_once_a_group(spark):
+    rows = [(k,) for k in [*range(40), S.PRIME - 1]]
+    aggregates, registers = S.fm_hashes("x")
+    got = spark.createDataFrame(rows, "x long").agg(*aggregates).select(*registers).first()
+    zeros = lambda v: (v & -v).bit_length() - 1 if v else 0
+    assert list(got) == [max(zeros((a * x + b) % S.PRIME) for (x,) in rows) for a, b in zip(S.FM_A, S.FM_B, strict=True)]
