@@ -182,3 +182,11 @@ def test_repeated_rows_and_many_items_in_the_bucket_filter(spark):
         sets = [set(rnd.sample([f"i{k}" for k in range(kinds)], 5)) for _ in range(60)] + [{"i1", "i2", "7"}] * 4
         rows = baskets(spark, sets)
         assert found(I.pcy_pairs(rows.unionByName(rows), 4)) == {c: n for c, n in brute_pairs(sets).items() if n >= 4}
+
+
+def test_long_report_lines_are_put_together_from_sorted_texts(spark):
+    """25,000 sets: a few texts reach the last task instead of one entry a set, in the order of the items."""
+    sets = spark.range(25_000).select(F.array(F.concat(F.lit("i"), (F.col("id") * 7_919 % 25_000).cast("string"))).alias("items"), F.lit(1).alias("support"))
+    want = ",".join(f"('{x}')" for x in sorted(f"i{k}" for k in range(25_000)))
+    assert [tuple(r) for r in sinks.itemset_lines(sets).collect()] == [(1, want)]
+    assert sinks.line_chunks(sets).count() < 100
