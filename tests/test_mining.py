@@ -190,3 +190,16 @@ def test_long_report_lines_are_put_together_from_sorted_texts(spark):
     want = ",".join(f"('{x}')" for x in sorted(f"i{k}" for k in range(25_000)))
     assert [tuple(r) for r in sinks.itemset_lines(sets).collect()] == [(1, want)]
     assert sinks.line_chunks(sets).count() < 100
+
+
+def test_wide_baskets_are_compared_as_bits(spark, monkeypatch):
+    """More wide baskets than one word holds: the same counts by bits as by looking the baskets up."""
+    from lodestream.operators import pairs
+
+    rnd = random.Random(9)
+    sets = [set(rnd.sample(range(14), rnd.choice([2, 3]))) for _ in range(12)] + [set(rnd.sample(range(14), 8)) for _ in range(70)]
+    rows = spark.createDataFrame([(s, i) for s, items in enumerate(sets) for i in items], "s long, i long")
+    want = {c: n for c, n in brute_pairs(sets).items() if n >= 24}
+    used, masked = [], pairs._masked
+    monkeypatch.setattr(pairs, "_masked", lambda *a: used.append(a[3]) or masked(*a))
+    assert {(r["a"], r["b"]): r["common"] for r in pair_counts(rows, 24, 5).collect()} == want and used == [70]
